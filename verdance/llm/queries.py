@@ -16,6 +16,20 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats, suffix_index
+
+    found = suffix_index.deduplicated(base.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", repeats.count_removed().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats, suffix_tree
+
+    found = suffix_tree.deduplicated(base.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", repeats.count_removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -60,7 +74,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op5_token_records, op6_best_fit_packing, op7_secret_scan, op8_warc_writer, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_suffix_tree_dedup, op5_token_records, op6_best_fit_packing, op7_secret_scan, op8_warc_writer, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
