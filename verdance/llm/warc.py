@@ -41,14 +41,17 @@ _SPACE = uuid.UUID("6f0c8a52-3c1d-4b0e-9a57-0d9a6f0f7c11")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html (binary), digest, refers_to (null for responses)."""
+def digested(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (binary), digest."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    known = pages.select("page_id", "url", payload.alias("html")).withColumn("digest", F.sha2("html", 256))
+    return pages.select("page_id", "url", payload.alias("html")).withColumn("digest", F.sha2("html", 256))
+
+
+def revisits(known: DataFrame, least: int = LEAST) -> DataFrame:
+    """page_id, digest, refers_to of the pages that repeat another's payload."""
     keys = known.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= least)
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
-    again = keys.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("again"), F.col("digest").alias("its"), "refers_to").distinct()
-    return known.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("its")), "left").drop("again", "its")
+    return keys.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def _clean(url: str) -> str:
@@ -120,20 +123,28 @@ def write(pages: DataFrame, uri: str, *, least: int = LEAST, roll_bytes: int = R
         from pyspark import TaskContext
 
         part, attempt, file, rows = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], None, []
+        marked, number = (None, None, None), lambda x: None if pd.isna(x) else int(x)
         for f in frames:
             for page_id, url, html, digest, refers_to in zip(f["page_id"], f["url"], f["html"], f["digest"], f["refers_to"], strict=True):
+                if html is None:  # a marker: what follows with this id and digest is a revisit
+                    marked = (page_id, digest, refers_to)
+                    continue
+                refers_to = marked[2] if marked[:2] == (page_id, digest) else None
                 if file is not None and file.bytes >= roll_bytes:
                     rows.append(file.close())
                     file = None
                 if file is None:
                     file = _File(uri, part, len(rows), attempt)
-                number = lambda x: None if pd.isna(x) else int(x)
                 file.add(record(number(page_id), url, bytes(html), digest, number(refers_to)))
         if file is not None:
             rows.append(file.close())
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    ready = with_revisits(pages, least).repartitionByRange(base.parts(spark), "page_id").sortWithinPartitions("page_id", "digest", "url")
+    known = digested(pages)
+    # markers travel with the pages through one range shuffle and sort right before them: payloads are moved once
+    markers = revisits(known, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
+    both = known.withColumn("refers_to", F.lit(None).cast("long")).unionByName(markers)
+    ready = both.repartitionByRange(base.parts(spark), "page_id").sortWithinPartitions("page_id", "digest", F.col("html").isNotNull(), "url")
     # ids beyond 2**53 would lose digits as floats, which nulls turn integers into
     ready = ready.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     files = sorted(map(tuple, ready.mapInPandas(archive, MANIFEST).collect()))  # a row for each file
