@@ -192,3 +192,23 @@ def owner(off: np.ndarray, position: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def whole_groups(frames: Iterable, by: list[str], most: int) -> Iterator:
+    """pandas frames of whole groups, about ``most`` rows each, from frames that are sorted by group."""
+    import pandas as pd
+
+    held: list = []
+    size = 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= most:
+            f = pd.concat(held, ignore_index=True)
+            last = (f[by] == f[by].iloc[-1]).all(axis=1)
+            if not last.all():
+                yield f[~last].reset_index(drop=True)
+                f = f[last]
+            held, size = [f], len(f)
+    if size:
+        yield pd.concat(held, ignore_index=True)

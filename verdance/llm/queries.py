@@ -23,6 +23,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", repeats.count_removed().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ctw
+
+    found = ctw.scored(base.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repeats, suffix_tree
 
@@ -74,7 +81,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_suffix_tree_dedup, op5_token_records, op6_best_fit_packing, op7_secret_scan, op8_warc_writer, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_lm_score, op4_suffix_tree_dedup, op5_token_records, op6_best_fit_packing, op7_secret_scan, op8_warc_writer, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -192,12 +192,12 @@ def verdicts(found: DataFrame, judge: Judge, by_words: bool, most: int) -> DataF
     """core, context, runs: the stretches [lo, hi) of a context's window starts that are repeated.
 
     A task reads its contexts in the order of keys and judges whole keys, about
-    ``most`` window starts at a time, so that it holds little besides one key.
+    ``most`` contexts at a time, so that it holds little besides one key.
     """
     spark = found.sparkSession
 
-    def whole(held: list[pd.DataFrame]) -> pd.DataFrame:
-        f = pd.concat(held, ignore_index=True).drop_duplicates(["key", "core", "context", "first"], ignore_index=True)
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.drop_duplicates(["key", "core", "context", "first"], ignore_index=True)
         h = hold(f, by_words)
         marked = judge(h)
         _, which = h.starts()
@@ -213,20 +213,8 @@ def verdicts(found: DataFrame, judge: Judge, by_words: bool, most: int) -> DataF
         return pd.DataFrame({"core": f["core"].to_numpy()[one], "context": f["context"].to_numpy()[one], "runs": runs})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for frame in frames:
-            held.append(frame)
-            size += int(frame["n"].sum())
-            if size >= most:
-                f = pd.concat(held, ignore_index=True)
-                last = f["key"] == f["key"].iloc[-1]
-                if not last.all():
-                    yield whole([f[~last]])
-                    f = f[last]
-                held, size = [f], int(f["n"].sum())
-        if held and size:
-            yield whole(held)
+        for f in base.whole_groups(frames, ["key"], most):
+            yield whole(f)
 
     return found.repartition(base.parts(spark), "key").sortWithinPartitions("key").mapInPandas(run, RUNS)
 

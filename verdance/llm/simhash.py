@@ -214,17 +214,8 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
         plain = plain.unionByName(more)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            held.append(frame)
-            if sum(map(len, held)) >= 1 << 20:  # all groups but the last are whole
-                f = pd.concat(held)
-                last = (f["block"] == f["block"].iloc[-1]) & (f["key"] == f["key"].iloc[-1])
-                if not last.all():
-                    yield _linked(f[~last], budget)
-                held = [f[last]]
-        if held:
-            yield _linked(pd.concat(held), budget)
+        for f in base.whole_groups(frames, ["block", "key"], 1 << 20):
+            yield _linked(f, budget)
 
     return plain.repartition(base.parts(spark), "block", "key").sortWithinPartitions("block", "key").mapInPandas(run, LINKS)
 

@@ -63,3 +63,10 @@ def put(uri: str, data: bytes) -> None:
 def get(uri: str) -> bytes:
     with open_read(uri) as f:
         return f.read()
+
+
+def files(uri: str, suffix: str) -> list[BinaryIO]:
+    """The files of a folder whose names end so, opened; none if there is no folder."""
+    where, path = _at(uri)
+    found = where.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return [where.open_input_file(x.path) for x in sorted(found, key=lambda x: x.path) if x.type == fs.FileType.File and x.base_name.endswith(suffix)]

@@ -32,9 +32,9 @@ LENGTH = 400
 CORE = 100
 #: Blocks of a window.
 BLOCKS = 4
-#: Suffixes of a batch, and of contexts that a task judges together if they are of whole keys.
+#: Suffixes of a batch, and contexts (of whole keys) that a task judges together.
 BATCH = 1 << 17
-TOGETHER = 1 << 20
+TOGETHER = 1 << 13
 
 
 @dataclass

@@ -28,10 +28,11 @@ from . import base, repeats
 
 WINDOW = 35
 CORE = 8
-#: Words of the shortest prefix, and suffixes of a group whose tree is built at once.
+#: Words of the shortest prefix, suffixes of a group whose tree is built at once,
+#: and contexts (of whole keys) that a task judges together.
 PREFIX = 4
 GROUP = 1 << 18
-TOGETHER = 1 << 20
+TOGETHER = 1 << 13
 
 
 def prefix_groups(held: repeats.Held, at: np.ndarray, window: int, prefix: int = PREFIX, group: int = GROUP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
