@@ -11,8 +11,8 @@ covariance, so each step is one pre-aggregated shuffle of a bounded number of
 bins for each group, whatever a hot source holds.
 
 A ridge keeps covariances regular where a statistic is constant, as counts of
-symbols often are.  Distances are scaled so that their median is that of a
-chi-squared law.  Groups of fewer than ``least`` documents are pooled by language,
+symbols often are.  Squared distances are divided by the factor that makes the
+scatter of the closest share of normal data consistent.  Groups of fewer than ``least`` documents are pooled by language,
 and those pools, if small, together; a pool still too small gets no verdict.
 
 Cases: a null text has no words and fails the base rules; null languages and
@@ -41,9 +41,9 @@ class Settings:
     steps: int = 5  #: concentration steps
     least: int = 50  #: rows that a group needs
     bins: int = 8  #: to a unit of the distance's natural logarithm
-    median: float = 4.3515  #: of the chi-squared law with five degrees of freedom
-    cutoff: float = 70.0  #: of the scaled squared distance
-    ridge: tuple[float, ...] = (0.08, 0.5, 0.5, 0.35, 0.8)  #: standard deviations added to each dimension's
+    consistency: float = 1.41  #: share / F7(q), q the share's quantile of the chi-squared law F5
+    cutoff: float = 15.09  #: of the scaled squared distance: one clean document in a hundred of a chi-squared law
+    ridge: tuple[float, ...] = (0.08, 0.5, 0.8, 0.5, 0.8)  #: standard deviations added to each dimension's
 
 
 DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats", "length")
@@ -166,12 +166,6 @@ def judged(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     params = base.stored(_start(rows, s), "start")
     for _ in range(s.steps):
         params = base.stored(_step(rows, params, s), "step")
-    far = _distance(rows, params).withColumn("bin", _bin(s))
-    bins = far.where(~F.col("base_failed")).groupBy("g1", "g2", "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("g1", "g2")
-    bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
-    middle = bins.where(2 * F.col("upto") >= F.col("all")).groupBy("g1", "g2").agg(F.exp((F.min("bin") + 0.5) / s.bins).alias("middle"), F.max("all").alias("all"))
-    scale = params.join(middle.where(F.col("all") >= s.least), ["g1", "g2"]).withColumn("scale", s.median / F.col("middle")).drop("n", "all", "middle")
-    out = _distance(rows, scale).withColumn("distance", F.col("d2") * F.col("scale"))
+    out = _distance(rows, params.where(F.col("n") >= s.least)).withColumn("distance", F.col("d2") / s.consistency)
     verdict = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= s.cutoff)
     return out.withColumn("kept", verdict).select("doc_id", "text_key", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
