@@ -81,7 +81,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_lm_score, op4_suffix_tree_dedup, op5_token_records, op6_best_fit_packing, op7_secret_scan, op8_warc_writer, op9_simhash)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.matches(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_lm_score, op4_suffix_tree_dedup, op5_token_records, op6_best_fit_packing, op7_secret_scan, op8_warc_writer, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
