@@ -1,14 +1,14 @@
-"""Names of all queries of the engine."""
+"""All queries of the engine and the SQL they are held against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .queries import QUERIES, SQL
 
 FLAGSHIP = "ndvi_keep_counts"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+__all__ = ["FLAGSHIP", "QUERIES", "oracle_sql"]
