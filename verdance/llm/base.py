@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch; a batch is cut further by bytes in text_blocks().
 ARROW_ROWS = 2000
 #: Text bytes that the array code looks at together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _shipped: set[str] = set()
 
