@@ -222,7 +222,8 @@ def verdicts(found: DataFrame, judge: Judge, by_words: bool, most: int) -> DataF
 def spans(docs: DataFrame, how: Sampling, judge: Judge, *, most: int, hot: int = HOT) -> DataFrame:
     """doc_id, text_key, removed: the merged stretches [lo, hi) of tokens under repeated windows."""
     found = base.stored(all_anchors(docs, how), "anchors")
-    twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core")
+    # stored, so that the join below has two plain shuffles and a hot core's side of it can be split
+    twice = base.stored(found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core"), "cores")
     hits = base.stored(found.join(twice, "core", "left_semi"), "hits")
     judged = base.stored(verdicts(contexts(docs, hits, how, hot), judge, how.by_words, most), "verdicts")
     each = hits.join(judged, ["core", "context"]).select("doc_id", "text_key", F.transform("runs", lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"] - 1 + how.window).alias("hi"))).alias("spans"))
