@@ -201,7 +201,8 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
     # key: number of the block and its value; turned: the bits with that block first
     dealt = distinct.select(f, F.inline(F.array(*[F.struct(F.lit(i).alias("block"), _bits(f, a, n).alias("value"), _turned(f, a).alias("turned"), F.lit(n).alias("shared")) for i, (a, n) in enumerate(blocks)])))
     sizes = dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"))
-    groups = sizes.where("n > 1").withColumn("is_hot", F.col("n") > hot).drop("n")
+    # stored, so that a hot group's side of the join can be split
+    groups = base.stored(sizes.where("n > 1").withColumn("is_hot", F.col("n") > hot).drop("n"), "groups")
     kept = dealt.join(groups, ["block", "value"])
     plain = kept.where(~F.col("is_hot")).select("block", F.col("value").alias("key"), "turned", "shared", "fingerprint")
     again = []
@@ -238,14 +239,17 @@ def _linked(f: pd.DataFrame, budget: int) -> pd.DataFrame:
 def classes(edges: DataFrame) -> DataFrame:
     """(node, class): connected components by contraction.
 
-    Each round, a node joins its smallest neighbour and links between joined
-    nodes go away, so at least half of the nodes that have links go each round.
+    Each round a node joins the first of itself and its neighbours in an order
+    that a hash makes anew, and links within a joined group go away.  About half
+    of the nodes of even a long chain are first of some neighbourhood, so the
+    links shrink geometrically.
     """
     rounds: list[DataFrame] = []
     left = base.stored(edges.toDF("a", "b").where("a <> b").distinct(), "links")
     while not left.isEmpty():
+        place = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("node"))  # noqa: E731, B023
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
-        to = base.stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("class")), "class")
+        to = base.stored(both.groupBy("node").agg(F.least(place("node"), F.min(place("other")))["node"].alias("class")), "class")
         rounds.append(to)
         a, b = to.toDF("a", "ca"), to.toDF("b", "cb")
         left = base.stored(left.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
@@ -264,5 +268,5 @@ def components(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET,
     of = classes(links(distinct.select("fingerprint"), budget, hot)).toDF("fingerprint", "class")
     known = distinct.join(of, "fingerprint", "left").withColumn("class", F.coalesce("class", "fingerprint"))
     known = base.stored(known, "known")
-    least = known.groupBy("class").agg(F.min("first").alias("component_id"))
+    least = base.stored(known.groupBy("class").agg(F.min("first").alias("component_id")), "least")
     return prints.join(known.join(least, "class").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
