@@ -100,6 +100,7 @@ def _grouped(stats: DataFrame, s: Settings) -> DataFrame:
     few = by_both.where(F.col("n") < s.least)
     by_lang = few.groupBy("g1").agg(F.sum("n").alias("pool"))
     level = by_both.join(by_lang, "g1", "left").select("g1", "g2", F.when(F.col("n") >= s.least, 0).when(F.col("pool") >= s.least, 1).otherwise(2).alias("level"))
+    level = base.stored(level, "levels")  # of groups only: a plain side of a join that can be split or broadcast by size
     out = out.join(level, ["g1", "g2"], "left").withColumn("level", F.coalesce("level", F.lit(2)))
     return out.withColumns({"g1": F.when(F.col("level") < 2, F.col("g1")).otherwise("*"), "g2": F.when(F.col("level") < 1, F.col("g2")).otherwise("*")})
 
@@ -107,7 +108,8 @@ def _grouped(stats: DataFrame, s: Settings) -> DataFrame:
 def _start(rows: DataFrame, s: Settings) -> DataFrame:
     """Parameters of the first distance: bins of each statistic give medians and quartiles."""
     long = rows.where(~F.col("base_failed")).select("g1", "g2", F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.round(F.col(d) * 50).alias("bin")) for i, d in enumerate(DIMENSIONS)])))
-    bins = long.groupBy("g1", "g2", "k", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # stored, so that partial counts meet by bin and not by group, which a hot one would send to one task
+    bins = base.stored(long.groupBy("g1", "g2", "k", "bin").agg(F.count(F.lit(1)).alias("n")), "bins")
     w = Window.partitionBy("g1", "g2", "k")
     bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin") / 50))
@@ -140,7 +142,7 @@ def _step(rows: DataFrame, params: DataFrame, s: Settings) -> DataFrame:
     near = _distance(rows.where(~F.col("base_failed")), params).withColumn("bin", _bin(s))
     x = [F.col(d) for d in DIMENSIONS]
     sums = [F.sum(x[i]).alias(f"x{i}") for i in range(5)] + [F.sum(x[i] * x[j]).alias(f"x{i}{j}") for i in range(5) for j in range(i + 1)]
-    bins = near.groupBy("g1", "g2", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+    bins = base.stored(near.groupBy("g1", "g2", "bin").agg(F.count(F.lit(1)).alias("n"), *sums), "bins")
     w = Window.partitionBy("g1", "g2")
     bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
     close = bins.where(F.col("upto") - F.col("n") < F.col("all") * s.share)
