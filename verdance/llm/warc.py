@@ -51,6 +51,7 @@ def revisits(known: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, digest, refers_to of the pages that repeat another's payload."""
     keys = known.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= least)
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
+    firsts = base.stored(firsts, "firsts")  # so that a payload of many pages can be split in the join
     return keys.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
@@ -219,6 +220,7 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def read(manifest: DataFrame) -> DataFrame:
     """One row for each response or revisit record of the archive."""
+    base.prepare(manifest.sparkSession)
     n = max(1, manifest.count())
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
