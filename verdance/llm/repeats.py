@@ -125,7 +125,7 @@ def contexts(docs: DataFrame, hits: DataFrame, how: Sampling, hot: int = HOT) ->
     """
     each = hits.groupBy("core", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "start", "n", "at")).alias("one"))
     each = base.stored(each.select("core", "context", "copies", "one.*"), "contexts")
-    many = each.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select(F.col("core").alias("many"))
+    many = base.stored(each.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select(F.col("core").alias("many")), "hot")
     each = each.join(many, F.col("core") == F.col("many"), "left").withColumn("is_hot", F.col("many").isNotNull())
     by_doc = each.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("core", "context", "copies", "start", "n", "at", "is_hot")).alias("found"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "its_id", "text_key": "its_key"}).hint("shuffle_hash")
@@ -152,7 +152,11 @@ def contexts(docs: DataFrame, hits: DataFrame, how: Sampling, hot: int = HOT) ->
                 else:
                     edges = [0, n]
                 for x, y in zip(edges, edges[1:]):
-                    key = int(f["core"][i]) if not is_hot[i] else int(base.mix(ranges(np.array([a + y - 1]), np.array([a + x + how.window])) + np.uint64((x - at) % (1 << 32))).view(np.int64)[0])
+                    key = int(f["core"][i])
+                    if is_hot[i]:  # what all windows of a whole cut share; every part of that cut has it
+                        nth = (x - at) // how.cut
+                        shared = ranges(np.array([a + at + (nth + 1) * how.cut - 1]), np.array([a + at + nth * how.cut + how.window]))
+                        key = int(base.mix(shared + np.uint64(nth % (1 << 32))).view(np.int64)[0])
                     rows.append((key, i, x, y - x, buf[a + x:a + y - 1 + how.window].tobytes()))
             if rows:
                 key, i, first, n, data = zip(*rows)
