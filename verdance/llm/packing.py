@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, keeps_space: bool = False, capac
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, keeps_space).encode
-        for batch in base.text_blocks(batches):
+        for batch in base.text_blocks(batches, budget=4 << 20):
             cols: list[list] = [[] for _ in range(6)]
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for doc_id, key, ids in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), encode(texts), strict=True):

@@ -38,7 +38,7 @@ from . import base, store
 from .tokenizing import encoder
 
 MAGIC = b"VTREC001"
-END_ID = 0
+END = bytes(4)  # the end id, 0
 SHARD_BYTES = 256 << 20
 _HEAD = struct.Struct("<8sII")
 _LENGTH = struct.Struct("<Q")
@@ -72,12 +72,14 @@ class ShardWriter:
         self.out.write(_HEAD.pack(MAGIC, width, 0))
         self.entries: list[tuple[int, int]] = []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        data = frame(_KEY.pack(doc_id is not None, doc_id or 0) + ids.astype(f"<u{self.width}").tobytes())
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian, in the shard's width."""
+        data = frame(_KEY.pack(doc_id is not None, doc_id or 0) + ids)
         self.out.write(data)
-        self.entries.append((self.at, len(ids)))
+        n = len(ids) // self.width
+        self.entries.append((self.at, n))
         self.at += len(data)
-        self.ids += len(ids)
+        self.ids += n
 
     def close(self) -> None:
         self.out.close()
@@ -140,6 +142,7 @@ def write(docs: DataFrame, vocabulary: str, uri: str, *, keeps_space: bool = Tru
     spark = base.prepare(docs.sparkSession)
     store.make_dir(uri)
     width = 2 if vocabulary_size <= 1 << 16 else 4
+    narrow = f"<u{width}"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -151,7 +154,7 @@ def write(docs: DataFrame, vocabulary: str, uri: str, *, keeps_space: bool = Tru
             writer.close()
             rows.append((part, len(rows), writer.uri, len(writer.entries), writer.ids))
 
-        for batch in base.text_blocks(batches):
+        for batch in base.text_blocks(batches, budget=4 << 20):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
                 if writer is not None and writer.at >= shard_bytes:
@@ -159,7 +162,7 @@ def write(docs: DataFrame, vocabulary: str, uri: str, *, keeps_space: bool = Tru
                     writer = None
                 if writer is None:
                     writer = ShardWriter(f"{uri}/shard-{part:06d}-{len(rows):04d}-{attempt}.bin", width)
-                writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID)))
+                writer.add(doc_id, np.frombuffer(ids + END, "<u4").astype(narrow).tobytes())
         if writer is not None:
             close()
         yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["part", "roll", "uri", "records", "ids"]), schema=pa.schema([("part", pa.int32()), ("roll", pa.int32()), ("uri", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]), preserve_index=False)
@@ -180,6 +183,7 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def read(manifest: DataFrame) -> DataFrame:
     """Per record of the shards: doc_id, start (ids before it), n_tokens, ids_crc32."""
+    base.prepare(manifest.sparkSession)
     n = max(1, manifest.count())
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

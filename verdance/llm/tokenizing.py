@@ -2,68 +2,135 @@
 
 Both vocabularies merge within pre-tokens only, and a single space between two
 other characters always begins a pre-token, so a text's ids are those of its
-space-separated pieces in a row.  Each distinct piece is encoded once and kept
-in a bounded table, which is several times faster than encoding whole texts.
+space-separated pieces in a row.  A worker remembers the pieces it has met.  New
+pieces are encoded together as one text.  Where its ids are to be cut again
+follows from the bytes that each id stands for, if the vocabulary keeps every
+byte; else from a sign between the pieces, which white space sets apart.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-#: Distinct pieces that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers at least, and twice that at most: the older half goes when the newer is full.
+REMEMBERED = 500_000
+#: Pieces of one call.
+TOGETHER = 500
+#: Stands between pieces of a vocabulary that drops white space.
+SIGN = "\x01"
+
+#: A piece that ends in up to four marks after a letter or a digit.
+_MARKED = re.compile(r"(.*[^\W_])([.,;:!?#$%&*)\]}|]{1,4})", re.S).fullmatch
 
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
-_RUN = re.compile("  ")
+
+
+class _Pieces:
+    """ids, as bytes, of pieces that follow ``lead``."""
+
+    def __init__(self, owner: "PieceEncoder", lead: str):
+        self.owner, self.lead = owner, lead
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, new: set[str]) -> None:
+        """Add pieces that the newer half lacks."""
+        young, old, todo, marked = self.young, self.old, [], []
+        for x in new:
+            if (ids := old.get(x)) is not None:
+                young[x] = ids
+            elif x[-1:].isalnum() or (m := _MARKED(x)) is None:
+                todo.append(x)
+            else:
+                marked.append((x, *m.groups()))
+        # a letter or digit and a mark are never in one pre-token: both sides are looked up by themselves
+        cores = {core for _, core, _ in marked}.difference(young, todo)
+        found = [x for x in cores if x in old]
+        young.update((x, old[x]) for x in found)
+        todo += cores.difference(found)
+        for i in range(0, len(todo), TOGETHER):
+            some = todo[i:i + TOGETHER]
+            young.update(zip(some, self.owner.apart([self.lead + x for x in some]), strict=True))
+        marks = self.owner.marks
+        for x, core, mark in marked:
+            if mark not in marks:
+                marks[mark] = self.owner.whole([mark])[0]
+            young[x] = young[core] + marks[mark]
+
+    def table(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """A table that has all pieces of these texts."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.learn(set(chain.from_iterable(texts)).difference(self.young))
+        return self.young
 
 
 class PieceEncoder:
-    """ids of a text as little-endian 32-bit integers."""
+    """ids of texts as little-endian 32-bit integers."""
 
     def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
+        if keeps_space:
+            size = {i: len(t) for t, i in self.plain.get_vocab().items()}  # a character of a token stands for a byte
+            self.bytes_of = np.array([size.get(i, 0) for i in range(max(size) + 1)])
+        else:
+            from tokenizers import normalizers
+
+            # below U+0100 this vocabulary's normal form is lower case alone, which Python makes faster
+            self.bare = Tokenizer.from_file(path)
+            self.bare.encode_special_tokens = True
+            self.bare.normalizer = normalizers.Sequence([])
+            sign = self.bare.encode(SIGN, add_special_tokens=False).ids
+            self.cut = sign[0] if len(sign) == 1 else None
         self.keeps_space = keeps_space
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.rest = _Pieces(self, " " if keeps_space else "")
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        if len(known) + len(pieces) > REMEMBERED:
-            known.clear()
-        todo = list(pieces)
-        for i in range(0, len(todo), 4096):
-            some = todo[i:i + 4096]
-            known.update(zip(some, self._whole([lead + x for x in some]), strict=True))
+    def apart(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; with keeps_space each is empty, the first of all, or begins with its only space."""
+        if self.keeps_space:
+            text = "".join(pieces)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+            sizes = map(len, pieces) if text.isascii() else (len(x.encode()) for x in pieces)
+            at = np.searchsorted(ends, np.cumsum([0, *sizes]))
+            begin, end = 4 * at[:-1], 4 * at[1:]
+        else:
+            text = f" {SIGN} ".join(pieces)
+            if self.cut is None or text.count(SIGN) != max(0, len(pieces) - 1):
+                return self.whole(pieces)
+            simple = text.isascii() or max(text) < "\u0100"
+            if not simple and len(pieces) > 1:
+                plain = {x: i for i, x in enumerate(pieces) if x.isascii() or max(x) < "\u0100"}
+                rest = [x for x in pieces if x not in plain]
+                if plain:
+                    known = dict(zip(plain, self.apart(list(plain)), strict=True)) | dict(zip(rest, self.whole(rest), strict=True))
+                    return [known[x] for x in pieces]
+            ids = np.array((self.bare if simple else self.plain).encode_batch_fast([text.lower() if simple else text], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(ids == self.cut)
+            begin, end = 4 * np.append(-1, at) + 4, 4 * np.append(at, len(ids))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; '' has none."""
-        out: list[bytes] = []
-        for text in texts:
-            if self.keeps_space and _RUN.search(text):  # runs of spaces are tokens of their own
-                out.append(self._whole([text])[0])
-                continue
-            head, *tail = text.split(" ")
-            rest = self.rest
-            try:
-                body = [rest[x] for x in tail]
-            except KeyError:
-                self._learn(rest, set(tail) - rest.keys() if len(rest) < REMEMBERED else set(tail), " " if self.keeps_space else "")
-                if not all(x in rest for x in tail):  # the table was emptied
-                    self._learn(rest, set(tail), " " if self.keeps_space else "")
-                body = [rest[x] for x in tail]
-            if head not in self.first:
-                self._learn(self.first, {head}, "")
-            out.append(self.first[head] + b"".join(body))
-        return out
+        # runs of spaces, and spaces beside other white space at the end, are tokens of their own
+        cut = [None if self.keeps_space and ("  " in t or t.endswith(" ")) else t.split(" ") for t in texts]
+        heads = [None if p is None else p.pop(0) for p in cut]
+        ids = self.rest.table([p for p in cut if p is not None]).__getitem__
+        first = self.whole([x or "" for x in heads])
+        return [self.whole([t])[0] if p is None else x + b"".join(map(ids, p)) for t, p, x in zip(texts, cut, first, strict=True)]
 
 
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
