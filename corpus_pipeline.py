@@ -16,17 +16,18 @@ from verdance.llm import base, decontam, packing, quality, secret_scan, simhash
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     verdict = quality.judged(docs).where("kept").select(*[F.col(c).alias(f"its_{c}") for c in ("doc_id", "text_key", "lang", "source")]).distinct()
-    keyed = docs.withColumn("text_key", base.text_key())
+    rows = docs.select(base.whole_row(docs), "doc_id", base.text_key().alias("text_key"), "lang", "source")
     same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in ("doc_id", "text_key", "lang", "source")]
-    return keyed.join(verdict, (same[0] & same[1]) & (same[2] & same[3]), "left_semi").select(docs.columns)
+    return rows.join(verdict, (same[0] & same[1]) & (same[2] & same[3]), "left_semi").select(*[c for _, c in base.columns_of(docs)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id."""
     found = simhash.components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("its_id")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"] or ["doc_id"])
-    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select(docs.columns)
+    rows = docs.select(base.whole_row(docs), "doc_id", "text")
+    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy("text")  # repeated rows: one stays
+    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select(*[c for _, c in base.columns_of(docs)])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete the application's scratch tables, once nothing that reads them is used any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/verdance/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,16 +80,21 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rebatch(df: DataFrame, n: int) -> DataFrame:
-    """Spread rows over n tasks whatever the input's file layout."""
-    return df.repartition(n)
-
-
 def text_key() -> F.Column:
     """Hash that, with doc_id, names a row; rows equal in both are the same text."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def whole_row(df: DataFrame) -> F.Column:
+    """All columns as one struct, so that no name of theirs meets one of ours; columns_of() undoes it."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+
+
+def columns_of(df: DataFrame) -> list[tuple[str, F.Column]]:
+    """The columns that whole_row() of this table has put away, by name."""
+    return [(c, F.col("__row").getField(c).alias(c)) for c in df.columns]
+
+
 # --- bytes -------------------------------------------------------------------
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", budget: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -190,13 +190,13 @@ def _spans(rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text, and spans: array of (start, kind number, end, name), by start and then rule order.
+    """The rows of docs with spans: array of (start, kind number, end, name), by start and then rule order.
 
-    All other columns of docs are kept.
+    All columns of docs are kept, but for one that is called spans.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALWAYS}
     trigrams = sorted(set().union(*(c for q in queries.values() for c in q)))
-    keyed = docs.withColumns({"text_key": base.text_key(), "t": F.coalesce("text", F.lit(""))})
+    keyed = docs.select(base.whole_row(docs), "doc_id", base.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("t"))
     if trigrams:
         may = candidates(base.stored(postings(docs, trigrams), "postings"), trigrams, queries)
         may = may.withColumnsRenamed({"doc_id": "its_id", "text_key": "its_key"})
@@ -208,7 +208,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if r.sign:
             test = test & F.rlike("t", F.lit(r.sign))
         found.append(F.when(test, _spans(r, i)).otherwise(none))
-    return keyed.withColumn("spans", F.array_sort(F.concat(*found))).drop("its_id", "its_key", "text_key", "t", *[f"may_{k}" for k in queries])
+    kept = [c for c in base.columns_of(docs) if c[0] != "spans"]
+    return keyed.select(*[c for _, c in kept], F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
