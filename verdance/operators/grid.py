@@ -113,3 +113,12 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
         east = east + F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return F.lit(500_000.0) + F.lit(k0 * a) * east, F.lit(k0 * a) * north
+
+
+def edges_to_utm(edges: Column, zone: int) -> Column:
+    """Polygon sides in degrees as sides in metres of a UTM zone."""
+    def side(e: Column) -> Column:
+        (x1, y1), (x2, y2) = utm(e["x1"], e["y1"], zone), utm(e["x2"], e["y2"], zone)
+        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+    return F.transform(edges, side)

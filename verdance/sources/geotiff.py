@@ -82,16 +82,17 @@ def lzw(data: bytes) -> bytes:
             seen = more
             continue
         put(table[seen], width)
-        table[more] = len(table) + 2
-        if len(table) + 2 >= (1 << width) - 1:
-            width += 1
-        if len(table) + 2 >= 4094:
-            put(256, min(width, 12))
+        table[more] = len(table) + 2  # after the codes for clear and end
+        free = len(table) + 2
+        if free == 4094:
+            put(256, width)
             table, width = {bytes([i]): i for i in range(256)}, 9
+        elif free >= 1 << width:
+            width += 1
         seen = data[i:i + 1]
     if seen:
         put(table[seen], width)
-        if len(table) + 3 >= (1 << width) - 1 and width < 12:
+        if len(table) + 3 >= 1 << width and width < 12:
             width += 1
     put(257, width)
     if bits:

@@ -113,7 +113,9 @@ def pixels(spark: SparkSession, path: str, bands: tuple[str, ...], pattern: str
     """
     rows = image_rows(spark, path, bands, pattern)
     cells = ["valid", *[t.lower() for t in bands], "scl_r", "scl_g", "scl_b", "scl"]
-    wide = rows.select("scene", date_in(F.col("scene")).alias("date_name"), date_in(F.col("member")).alias("date_member"), "y", F.posexplode(F.arrays_zip(*cells)).alias("x", "cell"))
+    none = F.transform("valid", lambda _: F.lit(None).cast("int"))  # a missing array would make the whole line missing
+    zipped = [F.coalesce(c, none).alias(c) if c.startswith("scl") else F.col(c) for c in cells]
+    wide = rows.select("scene", date_in(F.col("scene")).alias("date_name"), date_in(F.col("member")).alias("date_member"), "y", F.posexplode(F.arrays_zip(*zipped)).alias("x", "cell"))
     return wide.select("scene", "date_name", "date_member", "y", "x", *[F.col(f"cell.{c}").alias(c) for c in cells])
 
 
