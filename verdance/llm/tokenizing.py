@@ -26,9 +26,23 @@ SIGN = "\x01"
 #: A piece that ends in up to four marks after a letter or a digit.
 _MARKED = re.compile(r"(.*[^\W_])([.,;:!?#$%&*)\]}|]{1,4})", re.S).fullmatch
 
+#: Two words with a line end between them.
+_BROKEN = re.compile(r"([^\s]+)\n([^\s]+)").fullmatch
+
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
+def _plainer(text: str) -> str:
+    """For a vocabulary of lower case without white space: fewer different pieces, the same ids."""
+    text = text.replace("\n", " ")
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()  # below U+0100 as the vocabulary's own
+
+
 class _Pieces:
     """ids, as bytes, of pieces that follow ``lead``."""
 
@@ -39,7 +53,10 @@ class _Pieces:
 
     def learn(self, new: set[str]) -> None:
         """Add pieces that the newer half lacks."""
-        young, old, todo, marked = self.young, self.old, [], []
+        young, old, todo, marked, broken = self.young, self.old, [], [], []
+        if self.lead:  # a line end between two other characters is a pre-token: what stands around it is looked up by itself
+            broken = [(x, *m.groups()) for x in new if "\n" in x and (m := _BROKEN(x)) is not None]
+            new = new.difference(x for x, _, _ in broken) | {a for _, a, _ in broken}.difference(young)
         for x in new:
             if (ids := old.get(x)) is not None:
                 young[x] = ids
@@ -60,6 +77,15 @@ class _Pieces:
             if mark not in marks:
                 marks[mark] = self.owner.whole([mark])[0]
             young[x] = young[core] + marks[mark]
+        if broken:
+            heads = self.owner.heads
+            if len(heads) > REMEMBERED // 4:
+                heads.clear()
+            todo = list({b for _, _, b in broken}.difference(heads))
+            heads.update(zip(todo, self.owner.whole(todo)))
+            end = self.owner.whole(["\n"])[0]
+            for x, a, b in broken:
+                young[x] = young[a] + end + heads[b]
 
     def table(self, texts: list[list[str]]) -> dict[str, bytes]:
         """A table that has all pieces of these texts."""
@@ -92,6 +118,7 @@ class PieceEncoder:
             self.cut = sign[0] if len(sign) == 1 else None
         self.keeps_space = keeps_space
         self.marks: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.rest = _Pieces(self, " " if keeps_space else "")
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -125,6 +152,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; '' has none."""
+        if not self.keeps_space:
+            texts = [_plainer(t) for t in texts]
         # runs of spaces, and spaces beside other white space at the end, are tokens of their own
         cut = [None if self.keeps_space and ("  " in t or t.endswith(" ")) else t.split(" ") for t in texts]
         heads = [None if p is None else p.pop(0) for p in cut]
