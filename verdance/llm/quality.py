@@ -137,17 +137,20 @@ def _bin(s: Settings) -> Column:
     return F.floor(s.bins * F.log(F.greatest(F.col("d2"), F.lit(1e-4)))).cast("int")
 
 
+_SUMS = [f"x{i}" for i in range(5)] + [f"x{i}{j}" for i in range(5) for j in range(i + 1)]
+
+
 def _step(rows: DataFrame, params: DataFrame, s: Settings) -> DataFrame:
     """Mean and Cholesky factor of the closest rows of each group."""
     near = _distance(rows.where(~F.col("base_failed")), params).withColumn("bin", _bin(s))
     x = [F.col(d) for d in DIMENSIONS]
     sums = [F.sum(x[i]).alias(f"x{i}") for i in range(5)] + [F.sum(x[i] * x[j]).alias(f"x{i}{j}") for i in range(5) for j in range(i + 1)]
-    bins = base.stored(near.groupBy("g1", "g2", "bin").agg(F.count(F.lit(1)).alias("n"), *sums), "bins")
+    # by a struct: keys that the join above has not dealt rows by, else a hot group's rows would stay in one task
+    bins = base.stored(near.groupBy(F.struct("g1", "g2").alias("g"), "bin").agg(F.count(F.lit(1)).alias("n"), *sums), "bins").select("g.*", "bin", "n", *_SUMS)
     w = Window.partitionBy("g1", "g2")
     bins = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
     close = bins.where(F.col("upto") - F.col("n") < F.col("all") * s.share)
-    names = [f"x{i}" for i in range(5)] + [f"x{i}{j}" for i in range(5) for j in range(i + 1)]
-    out = close.groupBy("g1", "g2").agg(F.max("all").alias("all"), F.sum("n").alias("h"), *[F.sum(c).alias(c) for c in names])
+    out = close.groupBy("g1", "g2").agg(F.max("all").alias("all"), F.sum("n").alias("h"), *[F.sum(c).alias(c) for c in _SUMS])
     out = out.withColumns({f"m{i}": F.col(f"x{i}") / F.col("h") for i in range(5)})
     for i in range(5):
         for j in range(i + 1):
