@@ -144,3 +144,14 @@ def test_quality_cases(docs, empty, rows):
     assert got.count() == len(rows)
     assert all(not r.kept for r in got.where("base_failed").collect())
     assert quality.judged(empty).count() == 0
+
+
+def test_the_query_uses_contexts_beyond_four_bytes(spark, tmp_path):
+    from verdance.llm import queries
+
+    rng = np.random.default_rng(5)  # what follows "qqqqq" is told only by the byte before it
+    texts = [" ".join(("aqqqqqb", "cqqqqqd")[i] for i in rng.integers(0, 2, 60)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    deep = {r.doc_id: r.score for r in queries.op3_lm_score(spark, str(tmp_path)).where("held_out").collect()}
+    shallow = {r.doc_id: r.score for r in ctw.scored(spark.read.parquet(f"{tmp_path}/documents.parquet"), depth=4).where("held_out").collect()}
+    assert deep and all(deep[d] > 0.7 * shallow[d] for d in deep)

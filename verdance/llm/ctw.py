@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from . import base, store
 
 DEPTH = 4
+#: The most bytes of context whose strings, with the byte itself, are one 64-bit key; the query goes as deep.
+DEEPEST = 7
 #: The key of the end token among words' hashes.
 END = int(base.mix(np.array([0xE0D], np.uint64))[0])
 _LOG10_2 = float(np.log10(2.0))
@@ -328,7 +330,7 @@ def scored(docs: DataFrame, *, depth: int = DEPTH, modulus: int = 7, held_out: i
 
     Learns from the texts whose crc32(doc_id) modulo ``modulus`` is not ``held_out``.
     """
-    if not SPLIT <= depth <= 7:
+    if not SPLIT <= depth <= DEEPEST:
         raise ValueError("depth must be from 2 to 7 bytes")
     stored = blocks(docs, modulus, held_out)
     strings = _scored_strings(stored, depth)
