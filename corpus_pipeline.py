@@ -7,7 +7,7 @@ of one stage.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm import base, decontam, packing, quality, secret_scan, simhash
@@ -22,12 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id."""
-    found = simhash.components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("its_id")).distinct()
-    rows = docs.select(base.whole_row(docs), "doc_id", "text")
-    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")  # repeated rows: one stays
-    return kept.withColumn("place", F.row_number().over(one)).where("place = 1").select(*[c for _, c in base.columns_of(docs)])
+    """Of each class of near-duplicates the row with the smallest doc_id (null last), then text_key; of exact repeats one."""
+    found = simhash.representatives(docs).select(*[F.col(c).alias(f"its_{c}") for c in ("doc_id", "text_key")])
+    rows = docs.select(base.whole_row(docs), "doc_id", base.text_key().alias("text_key"))
+    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & (F.col("text_key") == F.col("its_text_key")), "left_semi")
+    return kept.groupBy("doc_id", "text_key").agg(F.first("__row").alias("__row")).select(*[c for _, c in base.columns_of(docs)])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

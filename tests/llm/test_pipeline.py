@@ -70,3 +70,20 @@ def test_columns_with_our_names_are_kept(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() > 0
         assert [tuple(r) for r in out.select(*odd).distinct().collect()] == [tuple(range(len(odd)))]
+
+
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    from tests.llm.conftest import prose
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b, c, d, e, f = (prose(rng, 150) for _ in range(6))
+    # nulls with different texts; id 5 on a text of its own and on a copy of 3; a null copy of 8
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (8, e), (None, e), (9, f), (9, f)]
+    for flip in (False, True):  # whichever of 5's texts sorts first
+        mine = [(i, {c: d, d: c}.get(t, t) if flip else t) for i, t in rows]
+        docs = spark.createDataFrame(mine, "doc_id long, text string")
+        got = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+        x, y = (d, c) if flip else (c, d)
+        assert got == sorted([(-1, a), (-1, b), (5, x), (3, y), (8, e), (9, f)])

@@ -75,16 +75,18 @@ def fingerprints(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (the 64 bits as a long)."""
+def with_fingerprints(docs: DataFrame, k: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """doc_id, fingerprint (the 64 bits as a long); keyed: text_key also, between them."""
     base.prepare(docs.sparkSession)
+    names = ["doc_id", "text_key"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in base.text_blocks(batches):
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base.signed(fingerprints(texts, k)))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(base.signed(fingerprints(texts, k)))], names=[*names, "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select("doc_id", base.text_key().alias("text_key"), "text").select(*names, "text")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fingerprint"]))
 
 
 # --- the trie ----------------------------------------------------------------
@@ -270,3 +272,20 @@ def components(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET,
     known = base.stored(known, "known")
     least = base.stored(known.groupBy("class").agg(F.min("first").alias("component_id")), "least")
     return prints.join(known.join(least, "class").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def first_rows(prints: DataFrame, of: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of each class's first row: the smallest doc_id, null last, then the smallest text_key.
+
+    prints: doc_id, text_key, fingerprint; of: fingerprint, class (others are classes of their own).
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    first = prints.groupBy("fingerprint").agg(least.alias("first")).join(of, "fingerprint", "left")
+    one = first.groupBy(F.coalesce("class", "fingerprint").alias("class")).agg(F.min("first").alias("first"))
+    return one.select("first.doc_id", "first.text_key")
+
+
+def representatives(docs: DataFrame, *, shingle: int = SHINGLE, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """doc_id, text_key: one row of each class; classes without ids stay apart."""
+    prints = base.stored(with_fingerprints(docs, shingle, keyed=True), "fingerprints")
+    return first_rows(prints, classes(links(prints.select("fingerprint").distinct(), budget, hot)).toDF("fingerprint", "class"))
