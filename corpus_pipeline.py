@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm import base, decontam, packing, quality, secret_scan, simhash
+from verdance.llm import base, decontam, packing, quality, secret_scan, similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the row with the smallest doc_id (null last), then text_key; of exact repeats one."""
-    found = simhash.representatives(docs).select(*[F.col(c).alias(f"its_{c}") for c in ("doc_id", "text_key")])
+    """Of each class of near-duplicates (SimHash, or five-word Jaccard of 0.8) the row with the smallest doc_id (null last), then text_key; of exact repeats one."""
+    found = similar.representatives(docs).select(*[F.col(c).alias(f"its_{c}") for c in ("doc_id", "text_key")])
     rows = docs.select(base.whole_row(docs), "doc_id", base.text_key().alias("text_key"))
     kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & (F.col("text_key") == F.col("its_text_key")), "left_semi")
     return kept.groupBy("doc_id", "text_key").agg(F.first("__row").alias("__row")).select(*[c for _, c in base.columns_of(docs)])

@@ -87,3 +87,27 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark):
         got = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
         x, y = (d, c) if flip else (c, d)
         assert got == sorted([(-1, a), (-1, b), (5, x), (3, y), (8, e), (9, f)])
+
+
+def test_copies_beyond_three_bits_are_found(spark):
+    from tests.llm.conftest import prose
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows, sets = [], []
+    for i in range(40):
+        words = prose(rng, 120).split()
+        for j in range(3):
+            mine = list(words)
+            for at in rng.choice(120, j, replace=False):
+                mine[at] = f"edit{i}x{j}"
+            rows.append((3 * i + j, " ".join(mine)))
+            sets.append({tuple(mine[k:k + 5]) for k in range(len(mine) - 4)})
+    prints = [brute.simhash(t) for _, t in rows]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = set(brute.classes(list(range(len(rows))), near))
+    bits_only = set(brute.classes(prints, lambda a, b: (a ^ b).bit_count() <= 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.count() == len(want) < len(bits_only)
