@@ -121,3 +121,30 @@ def test_blocks_of_the_benchmark_give_the_same(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench, block_bytes=1).collect()} == {(0, 0), (1, 1)}
     assert [r.doc_id for r in decontam.clean(docs, bench, block_bytes=1).collect()] == [2]
+
+
+def _in_text(text: str, item: str) -> bool:
+    import numpy as np
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    return bool(decontam.found_in(decontam.tokens(data, np.array([0, len(data)])), decontam.index([(1, item)])))
+
+
+def test_templates_of_names_that_begin_sentences():
+    form = "{} bought {} apples at the market. {} bought {} pears at the market. {} bought {} plums there. How many pieces of fruit did they buy in all?"
+    item = form.format("Anna", 12, "Bob", 7, "Clara", 9)
+    assert _in_text(form.format("Emil", 31, "Frida", 8, "Georg", 44), item)
+    assert not _in_text(form.format("Emil", 31, "Frida", 8, "Georg", 44).replace("bought", "sold").replace("market", "fair"), item)
+
+
+def test_hyphenated_number_words_are_numbers():
+    form = "a farmer had {} sheep and gave {} of them to a neighbour who then had {} sheep in all"
+    item = form.format("twenty-five", "ten", "thirty-one")
+    assert _in_text(form.format("forty", "fifty-two", "ninety"), item)
+
+
+def test_items_made_mostly_of_numbers():
+    item = "add 3 17 29 4 88 51 get 192 7 6 5"
+    assert _in_text("please add 5 11 23 8 71 64 get 182 9 2 1 now", item)
+    assert not _in_text("5 11 23 8 71 64 182 9 2 1 14 15 16 18 19", item)
+    assert not _in_text("please add 5 11 5 8 71 64 get 182 9 2 1 now", item)  # 3 and 29 are not one value

@@ -16,6 +16,11 @@ windows are looked up; of these at least one must be there if the item is, so
 phrases that many items share make no candidates.  Windows of placeholders with
 fewer than two words between them are left out of templates.
 
+Two things have further templates of their own.  In the second, words in capitals
+that begin a sentence are names too.  Where windows with fewer than two words have
+been left out, a template has them all, but then every slot must agree, in both
+directions, and at least two different words must be opposite each other.
+
 Cases: null texts have no tokens and match nothing; items with fewer tokens than
 a window are one shorter window; an empty benchmark matches nothing; repeated
 rows each match; further columns are ignored by ``matches`` and kept by
@@ -65,6 +70,7 @@ def _names(words: list[str]) -> np.ndarray:
 
 
 _NUMBER_WORDS, _UNITS = _names(NUMBER_WORDS), _names(UNITS)
+_PARTS = {w.encode() for w in [*NUMBER_WORDS, "and"]}
 _PLACE = base.mix(np.arange(1, 6, dtype=np.uint64))
 
 
@@ -77,6 +83,16 @@ def _upto(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags)])
 
 
+def _hyphenated(low: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Tokens that are number words with hyphens between them, as one number each."""
+    out = np.zeros(len(start), bool)
+    hyphens = _upto(low == 45)
+    for i in np.flatnonzero(hyphens[stop] > hyphens[start]).tolist():
+        parts = low[start[i]:stop[i]].tobytes().split(b"-")
+        out[i] = all(p in _PARTS for p in parts) and parts != [b"and"] * len(parts)
+    return out
+
+
 @dataclass
 class Tokens:
     """Tokens of texts: their names, the template's names, their kinds; off: the texts' offsets."""
@@ -85,6 +101,8 @@ class Tokens:
     template: np.ndarray
     kind: np.ndarray
     off: np.ndarray
+    template_2: np.ndarray  # the same where words that begin sentences can be names
+    kind_2: np.ndarray
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> Tokens:
@@ -111,14 +129,15 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> Tokens:
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     kind = np.zeros(len(start), np.int8)
     kind[capital & ~begins & ~after] = NAME
-    number = ((n_digits > 0) & (n_letters == 0)) | _in(names, _NUMBER_WORDS)
-    kind[number] = NUMBER
-    kind[(n_digits > 0) & (n_letters > 0) & _DIGIT[first]] = QUANTITY
+    kind_2 = np.where(capital, np.int8(NAME), kind)
+    number = ((n_digits > 0) & (n_letters == 0)) | _in(names, _NUMBER_WORDS) | _hyphenated(low, start, stop)
+    quantity = (n_digits > 0) & (n_letters > 0) & _DIGIT[first]
     unit = _in(names, _UNITS)
     unit[:1] = False
     unit[1:] &= number[:-1] & ~begins[1:]
-    kind[unit] = UNIT
-    return Tokens(names, np.where(kind == WORD, names, _PLACE[kind]), kind, at)
+    for k in (kind, kind_2):
+        k[number], k[quantity], k[unit] = NUMBER, QUANTITY, UNIT
+    return Tokens(names, np.where(kind == WORD, names, _PLACE[kind]), kind, at, np.where(kind_2 == WORD, names, _PLACE[kind_2]), kind_2)
 
 
 @dataclass
@@ -132,39 +151,59 @@ class Item:
     kind: np.ndarray
     wide: int
     needed: int
+    strict: bool = False  # all slots agree, in both directions
+
+
+#: Channels: the tokens, the template, the second one, and both with windows of few words.
+TOKENS, TEMPLATE, TEMPLATE_2, SPARSE, SPARSE_2 = range(5)
+
+
+def _sequences(t: Tokens) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Channel, names and kinds."""
+    return [(TOKENS, t.names, t.kind), (TEMPLATE, t.template, t.kind), (TEMPLATE_2, t.template_2, t.kind_2), (SPARSE, t.template, t.kind), (SPARSE_2, t.template_2, t.kind_2)]
 
 
 @dataclass
 class Index:
     """Rarest windows of the items, in each channel and width of windows."""
 
-    keys: dict[tuple[bool, int], np.ndarray] = field(default_factory=dict)
-    lists: dict[tuple[bool, int], list[list[Item]]] = field(default_factory=dict)
+    keys: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    lists: dict[tuple[int, int], list[list[Item]]] = field(default_factory=dict)
 
 
 def index(rows: list[tuple[int | None, str | None]], window: int = WINDOW, similarity: float = SIMILARITY) -> Index:
-    items: dict[tuple[bool, int], list[Item]] = defaultdict(list)
+    items: dict[tuple[int, int], list[Item]] = defaultdict(list)
+    bare: set[int] = set()  # windows of placeholders alone, which many texts have: looked up last
     for item_id, text in rows:
         data = np.frombuffer((text or "").encode(), np.uint8)
         t = tokens(data, np.array([0, len(data)]))
         wide = min(window, len(t.names))
         if not wide:
             continue
-        for template, names in ((False, t.names), (True, t.template)):
-            if template and not (t.kind != WORD).any():
-                continue  # nothing that the other channel doesn't find
+        for channel, names, kind in _sequences(t):
+            if channel != TOKENS and not (kind != WORD).any():
+                continue  # nothing that the first channel doesn't find
+            if channel in (TEMPLATE_2, SPARSE_2) and (t.kind_2 == t.kind).all():
+                continue  # nothing that the first template doesn't find
             hashes = base.RangeHash(names).rolling(wide)
-            words = _upto(t.kind == WORD)
-            use = np.flatnonzero(words[wide:] - words[:-wide] >= min(2, wide)) if template else np.arange(len(hashes))
+            words = _upto(kind == WORD)
+            n_words = words[wide:] - words[:-wide]
+            dense = n_words >= min(2, wide)
+            strict = channel in (SPARSE, SPARSE_2)
+            if strict and (dense.all() or len(np.unique(t.names[kind == WORD])) < 2):
+                continue
+            use = np.flatnonzero(dense) if channel in (TEMPLATE, TEMPLATE_2) else np.arange(len(hashes))
             if len(use):
                 different = len(np.unique(hashes[use]))
-                items[template, wide].append(Item(item_id, hashes[use], use, t.names, t.kind, wide, int(np.ceil(similarity * different - 1e-9))))
+                items[channel, wide].append(Item(item_id, hashes[use], use, t.names, kind, wide, int(np.ceil(similarity * different - 1e-9)), strict))
+                if strict:
+                    bare.update(hashes[n_words == 0].tolist())
     out = Index()
-    for key, found in items.items():
+    for key, found in sorted(items.items(), key=lambda x: x[0]):
         often = Counter(h for x in found for h in np.unique(x.windows).tolist())
         lists: dict[int, list[Item]] = defaultdict(list)
         for x in found:
-            own = sorted(np.unique(x.windows).tolist(), key=lambda h: (often[h], h))
+            own = sorted(np.unique(x.windows).tolist(), key=lambda h: (h in bare, often[h], h))
             for h in own[:len(own) - x.needed + 1]:
                 lists[h].append(x)
         out.keys[key] = np.array(sorted(lists), np.uint64)
@@ -204,14 +243,16 @@ def _aligned(x: Item, hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return found, pairs[:, 0], pairs[:, 1]
 
 
-def _verdict(x: Item, template: bool, hashes: np.ndarray, names: np.ndarray) -> Match | None:
+def _verdict(x: Item, channel: int, hashes: np.ndarray, names: np.ndarray) -> Match | None:
     found, a, b = _aligned(x, hashes)
     if found < x.needed:
         return None
     slot = x.kind[a] != WORD
     mine, theirs = x.values[a[slot]].tolist(), names[b[slot]].tolist()
     changed = sum(u != v for u, v in zip(mine, theirs))
-    if template and mine:
+    if x.strict and (len(set(mine)) != len(pairs := set(zip(mine, theirs))) or len(set(theirs)) != len(pairs) or len(np.unique(x.values[a[~slot]])) < 2):
+        return None
+    if channel != TOKENS and mine:
         votes: dict[int, Counter] = defaultdict(Counter)
         for u, v in zip(mine, theirs):
             votes[u][v] += 1
@@ -224,8 +265,9 @@ def _verdict(x: Item, template: bool, hashes: np.ndarray, names: np.ndarray) ->
 def found_in(batch_tokens: Tokens, known: Index) -> dict[int, list[Match]]:
     """Matches of each text that has any."""
     t, out = batch_tokens, defaultdict(dict)
-    for (template, wide), keys in known.keys.items():
-        names = t.template if template else t.names
+    sequences = {channel: names for channel, names, _ in _sequences(t)}
+    for (channel, wide), keys in known.keys.items():
+        names = sequences[channel]
         hashes = base.RangeHash(names).rolling(wide)
         if not len(hashes) or not len(keys):
             continue
@@ -234,7 +276,7 @@ def found_in(batch_tokens: Tokens, known: Index) -> dict[int, list[Match]]:
         doc = base.owner(t.off, hit)
         whole = hit + wide <= t.off[doc + 1]
         pairs = np.unique(np.stack([doc[whole], i[hit[whole]]], 1), axis=0)
-        lists = known.lists[template, wide]
+        lists = known.lists[channel, wide]
         for d in np.unique(pairs[:, 0]):
             lo, hi = t.off[d], t.off[d + 1]
             own = hashes[lo:hi - wide + 1]
@@ -243,7 +285,7 @@ def found_in(batch_tokens: Tokens, known: Index) -> dict[int, list[Match]]:
                 for x in lists[k]:
                     if id(x) not in tried:
                         tried.add(id(x))
-                        if (m := _verdict(x, template, own, t.names[lo:hi])) is not None:
+                        if (m := _verdict(x, channel, own, t.names[lo:hi])) is not None:
                             out[int(d)].setdefault(x.item_id, m)
     return {d: list(m.values()) for d, m in out.items()}
 
