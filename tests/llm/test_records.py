@@ -22,6 +22,27 @@ def test_pieces_encode_as_whole_texts(texts, name, keeps):
     assert e.encode(some) == e.whole(some)  # and once pieces are remembered
 
 
+#: White space of many kinds, letters that grow or compose when made plain, marks, contractions.
+ODD = [*" \n\t\r\x0b\x0c\x1c\x85\xa0\u1680\u180e\u2003\u2028\u202f\u3000\u200b", *"azAZ09éßŉıİſΣςж日²½ⅷ٣", *"\u0300\u0307\u0338\u0345", *"'’.,;:!?#$%&*)]}|(_-\"=\x01", "  ", "\n\n", "'s", "'RE", "İ.", "<|endoftext|>", "\U0001e94a", "\u1100", "\u1161"]
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+@settings(max_examples=150, deadline=None)
+@given(some=st.lists(st.lists(st.sampled_from(ODD), max_size=14).map("".join), max_size=30))
+def test_any_text_encodes_as_a_whole(name, keeps, some):
+    e = encoder(public_tokenizers.path(name), keeps)
+    assert e.encode(some) == e.whole(some)
+
+
+@pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_many_odd_texts_encode_as_wholes(name, keeps):
+    rng = np.random.default_rng(17)
+    some = ["Home \xa0 \xa0 News", "a \xa0 \xa0 \xa0 b", "end. \xa0 \xa0\n\nNext", "\x85 \xa0 \xa0\n-", "x İ?", "Diyarbakır İ."]
+    some += ["".join(ODD[i] for i in rng.integers(0, len(ODD), n)) for n in rng.integers(1, 16, 100_000)]
+    e = encoder(public_tokenizers.path(name), keeps)
+    assert [t for t, a, b in zip(some, e.encode(some), e.whole(some)) if a != b] == []
+
+
 def test_records_round_trip(spark, docs, rows):
     uri = base.scratch(spark, "t-shards")
     manifest = token_records.write(docs, public_tokenizers.path("byte_bpe_50k.json"), uri, shard_bytes=2_000)

@@ -1,8 +1,9 @@
 """Encoding of whole texts with a public tokenizer, one word at a time.
 
-Both vocabularies merge within pre-tokens only, and a single space between two
-other characters always begins a pre-token, so a text's ids are those of its
-space-separated pieces in a row.  A worker remembers the pieces it has met.  New
+Both vocabularies merge within pre-tokens only.  A space before a character that
+is not white always begins a pre-token, whatever stands before it, so a text's ids
+are those of the pieces between such spaces in a row.  A vocabulary that drops
+white space can be cut at every space.  A worker remembers the pieces it has met.  New
 pieces are encoded together as one text.  Where its ids are to be cut again
 follows from the bytes that each id stands for, if the vocabulary keeps every
 byte; else from a sign between the pieces, which white space sets apart.
@@ -23,8 +24,12 @@ TOGETHER = 500
 #: Stands between pieces of a vocabulary that drops white space.
 SIGN = "\x01"
 
-#: A piece that ends in up to four marks after a letter or a digit.
-_MARKED = re.compile(r"(.*[^\W_])([.,;:!?#$%&*)\]}|]{1,4})", re.S).fullmatch
+#: A piece that ends in up to four marks after a letter or a digit whose lower case and normal form are one too.
+_MARKED = re.compile(r"(.*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f])([.,;:!?#$%&*)\]}|]{1,4})", re.S).fullmatch
+
+#: White space beside a space, and where such a text can be cut all the same.
+_BLANKS = re.compile(r" [\s\u180e]| $").search
+_CUT = re.compile(r" (?=[^\s\u180e])").split
 
 #: Two words with a line end between them.
 _BROKEN = re.compile(r"([^\s]+)\n([^\s]+)").fullmatch
@@ -154,12 +159,10 @@ class PieceEncoder:
         """The ids of each text; '' has none."""
         if not self.keeps_space:
             texts = [_plainer(t) for t in texts]
-        # runs of spaces, and spaces beside other white space at the end, are tokens of their own
-        cut = [None if self.keeps_space and ("  " in t or t.endswith(" ")) else t.split(" ") for t in texts]
-        heads = [None if p is None else p.pop(0) for p in cut]
-        ids = self.rest.table([p for p in cut if p is not None]).__getitem__
-        first = self.whole([x or "" for x in heads])
-        return [self.whole([t])[0] if p is None else x + b"".join(map(ids, p)) for t, p, x in zip(texts, cut, first, strict=True)]
+        cut = [_CUT(t) if self.keeps_space and _BLANKS(t) else t.split(" ") for t in texts]
+        heads = [p.pop(0) for p in cut]
+        ids = self.rest.table(cut).__getitem__
+        return [x + b"".join(map(ids, p)) for p, x in zip(cut, self.whole(heads), strict=True)]
 
 
 def encoder(path: str, keeps_space: bool) -> PieceEncoder:
