@@ -133,6 +133,29 @@ def test_archive_cases(spark):
     assert warc.read(warc.write(spark.createDataFrame([], schema), base.scratch(spark, "t-empty"))).count() == 0
 
 
+def test_archives_do_not_depend_on_partitions(spark):
+    page = "concat(repeat(concat('line ', id % 700, ' of a page '), 1 + cast(id % 97 as int)), if(id % 5 = 0, '', cast(id as string)))"
+    pages = spark.range(20_000).selectExpr("if(id % 50 = 1, null, id) as page_id", "concat('http://h/', id) as url", f"{page} as html")
+    found, before = [], base.parts(spark)
+    try:
+        for n, rows in ((8, pages.repartition(3)), (3, pages.repartition(7).orderBy("html")), (8, pages.repartition(3))):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            manifest = warc.write(rows, base.scratch(spark, "t-same"), shard_bytes=1 << 20, roll_bytes=40_000)
+            found.append([(r.shard, r.roll, r.records, r.sha256) for r in manifest.orderBy("shard", "roll").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(before))
+    assert found[0] == found[1] == found[2]
+    assert sum(r[2] for r in found[0]) == 20_000 and len({r[0] for r in found[0]}) > 10 and max(r[1] for r in found[0]) > 0
+    ids = sorted(warc.read(manifest).select("page_id").toPandas().page_id.dropna().astype(int))
+    assert ids == [i for i in range(20_000) if i % 50 != 1]
+
+
+def test_long_pages(spark):
+    pages = spark.createDataFrame([(i, "u", str(i) + "é" * 3_000_000) for i in range(3)] + [(9, "u", "2" + "é" * 3_000_000)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.read(warc.write(pages, base.scratch(spark, "t-long"))).collect())
+    assert got == [(0, 6_000_001, None), (1, 6_000_001, None), (2, 6_000_001, None), (9, 6_000_001, 2)]
+
+
 def test_frames_are_masked():
     assert token_records.masked(b"abc") != zlib.crc32(b"abc")
     assert token_records.frame(b"abc")[:8] == (3).to_bytes(8, "little")

@@ -1,19 +1,22 @@
 """Deterministic sharded WARC archives of pages, with revisit records.
 
-Records are range-sorted by page_id, so shards are in that order.  Each record
-is a gzip member of its own; a file rolls when its compressed size passes the
-limit.  Headers and digests are made anew from the payload and the page alone:
-the same pages give the same bytes.  A task writes under temporary names that
-hold its attempt; the job's rows name the files of the attempts that count,
-those are renamed, and the manifest is written last.
+Records are range-sorted by page_id and digest.  Shards are stretches of that
+order, cut where the running sum of payload bytes passes multiples of a size that
+the total alone fixes, so they do not depend on how Spark has dealt the rows.
+Each record is a gzip member of its own; within a shard a file rolls when its
+compressed size passes the limit.  Headers and digests are made anew from the
+payload and the page alone: the same pages give the same files, byte for byte.  A
+task writes under temporary names that hold its attempt; the job's rows name the
+files of the attempts that count, those are renamed, and the manifest is written
+last.
 
 Of pages with equal payloads of at least ``least`` bytes the one with the
 smallest page_id is the response and the others revisit it; a revisit record
 keeps the HTTP head, with the payload's length, and its digest.
 
 Cases: a null html is an empty payload; a null url becomes urn:page:<id>; a null
-page_id sorts first and is never the page referred to unless all of its group
-are null, which then are responses; repeated rows with the smallest page_id are
+page_id sorts first, is spread over shards by digest and is never the page referred
+to unless all of its group are null, which then are responses; repeated rows with the smallest page_id are
 all responses; control characters in a url are percent-encoded; further columns
 are ignored; an empty table gives an empty archive.
 """
@@ -24,17 +27,22 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import base, store
 
 LEAST = 100
 ROLL_BYTES = 256 << 20
+#: Payload bytes of a shard: a 64th of the total within these bounds.
+SHARD_LEAST, SHARD_MOST, SHARDS = 4 << 20, 1 << 30, 64
+#: What a record counts besides its payload.
+RECORD_BYTES = 512
 DATE = "2020-01-01T00:00:00Z"
 LEVEL = 4
 _SPACE = uuid.UUID("6f0c8a52-3c1d-4b0e-9a57-0d9a6f0f7c11")
@@ -47,9 +55,33 @@ def digested(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", payload.alias("html")).withColumn("digest", F.sha2("html", 256))
 
 
-def revisits(known: DataFrame, least: int = LEAST) -> DataFrame:
+def keys_of(known: DataFrame) -> DataFrame:
+    """page_id, digest, n (payload bytes) of every page."""
+    return known.select("page_id", "digest", F.octet_length("html").cast("long").alias("n"))
+
+
+def shard_starts(keys: DataFrame, shard_bytes: int | None = None) -> list[tuple[bool, int, str]]:
+    """The first (has an id, page_id, digest) of each shard, in order; a row for each shard reaches the driver."""
+    spark = keys.sparkSession
+    each = keys.groupBy("page_id", "digest").agg(F.sum(F.col("n") + RECORD_BYTES).alias("n"))
+    # stored with the partition that each row lies in: the running sum over all is that of the partition and those before it
+    ranged = each.repartitionByRange(base.parts(spark), "page_id", "digest").withColumn("part", F.spark_partition_id())
+    ranged = base.stored(ranged, "sizes")
+    before, total = [], 0
+    for part, n in sorted(map(tuple, ranged.groupBy("part").agg(F.sum("n")).collect())):  # a row for each partition
+        before.append((part, total))
+        total += n
+    size = shard_bytes or min(max(total // SHARDS, SHARD_LEAST), SHARD_MOST)
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("page_id", "digest"))
+    placed = ranged.withColumn("upto", upto).join(spark.createDataFrame(before, "part int, before long"), "part")
+    shard = F.floor((F.col("before") + F.col("upto") - F.col("n")) / size)
+    first = F.min(F.struct(F.col("page_id").isNotNull().alias("there"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "digest"))
+    return sorted((r[0], r[1], r[2]) for r in placed.groupBy(shard.alias("shard")).agg(first.alias("first")).select("first.*").collect())
+
+
+def revisits(keys: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, digest, refers_to of the pages that repeat another's payload."""
-    keys = known.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= least)
+    keys = keys.where(F.col("n") >= least)
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
     firsts = base.stored(firsts, "firsts")  # so that a payload of many pages can be split in the join
     return keys.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
@@ -90,17 +122,17 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-MANIFEST = "part int, roll int, temporary string, uri string, records long, bytes long, sha256 string"
+MANIFEST = "shard int, roll int, temporary string, uri string, records long, bytes long, sha256 string"
 
 
 class _File:
-    def __init__(self, uri: str, part: int, roll: int, attempt: str):
-        self.key = (part, roll)
-        self.uri = f"{uri}/pages-{part:06d}-{roll:04d}.warc.gz"
+    def __init__(self, uri: str, shard: int, roll: int, attempt: str):
+        self.key, self.closed = (shard, roll), False
+        self.uri = f"{uri}/pages-{shard:06d}-{roll:04d}.warc.gz"
         self.temporary = f"{self.uri}.{attempt}.tmp"
         self.out, self.sum, self.records, self.bytes = store.create(self.temporary), hashlib.sha256(), 0, 0
-        info = f"software: verdance\r\nformat: WARC File Format 1.1\r\npart: {part}\r\nroll: {roll}\r\n".encode()
-        name = f"<urn:uuid:{uuid.uuid5(_SPACE, f'info {part} {roll}')}>"
+        info = f"software: verdance\r\nformat: WARC File Format 1.1\r\nshard: {shard}\r\nroll: {roll}\r\n".encode()
+        name = f"<urn:uuid:{uuid.uuid5(_SPACE, f'info {shard} {roll}')}>"
         self.add(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {name}\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n", 0)
 
     def add(self, data: bytes, counts: int = 1) -> None:
@@ -112,40 +144,49 @@ class _File:
 
     def close(self) -> tuple:
         self.out.close()
+        self.closed = True
         return (*self.key, self.temporary, self.uri, self.records, self.bytes, self.sum.hexdigest())
 
 
-def write(pages: DataFrame, uri: str, *, least: int = LEAST, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write the archive under uri and return its manifest."""
+def write(pages: DataFrame, uri: str, *, least: int = LEAST, roll_bytes: int = ROLL_BYTES, shard_bytes: int | None = None) -> DataFrame:
+    """Write the archive under uri and return its manifest.  shard_bytes: payload of a shard, if not by the total."""
     spark = base.prepare(pages.sparkSession)
     store.make_dir(uri)
 
     def archive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, attempt, file, rows = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], None, []
+        attempt, file, rows = uuid.uuid4().hex[:12], None, []
         marked, number = (None, None, None), lambda x: None if pd.isna(x) else int(x)
         for f in frames:
-            for page_id, url, html, digest, refers_to in zip(f["page_id"], f["url"], f["html"], f["digest"], f["refers_to"], strict=True):
+            for shard, page_id, url, html, digest, refers_to in zip(f["shard"], f["page_id"], f["url"], f["html"], f["digest"], f["refers_to"], strict=True):
                 if html is None:  # a marker: what follows with this id and digest is a revisit
                     marked = (page_id, digest, refers_to)
                     continue
                 refers_to = marked[2] if marked[:2] == (page_id, digest) else None
-                if file is not None and file.bytes >= roll_bytes:
+                if file is not None and (file.key[0] != shard or file.bytes >= roll_bytes):
                     rows.append(file.close())
-                    file = None
-                if file is None:
-                    file = _File(uri, part, len(rows), attempt)
+                if file is None or file.closed:
+                    file = _File(uri, shard, file.key[1] + 1 if file is not None and file.key[0] == shard else 0, attempt)
                 file.add(record(number(page_id), url, bytes(html), digest, number(refers_to)))
         if file is not None:
             rows.append(file.close())
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in MANIFEST.split(", ")])
 
     known = digested(pages)
-    # markers travel with the pages through one range shuffle and sort right before them: payloads are moved once
-    markers = revisits(known, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
+    keys = base.stored(keys_of(known), "keys")
+    starts = spark.sparkContext.broadcast(shard_starts(keys, shard_bytes))  # a row for each shard, at most a 64th or a gigabyte of the payload
+
+    @F.pandas_udf("int")
+    def shard_of(there: pd.Series, page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(starts.value, x) - 1 for x in zip(there, page_id, digest)], dtype="int32")
+
+    # markers travel with the pages through one shuffle and sort right before them: payloads are moved once
+    markers = revisits(keys, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
     both = known.withColumn("refers_to", F.lit(None).cast("long")).unionByName(markers)
-    ready = both.repartitionByRange(base.parts(spark), "page_id").sortWithinPartitions("page_id", "digest", F.col("html").isNotNull(), "url")
+    both = both.withColumn("shard", shard_of(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "digest"))
+    n_shards = max(1, len(starts.value))
+    n = min(n_shards, base.parts(spark))
+    dealt = both.repartitionById(n, F.floor(F.col("shard") * n / n_shards).cast("int"))  # shards in a row, evenly
+    ready = dealt.sortWithinPartitions("shard", "page_id", "digest", F.col("html").isNotNull(), "url")
     # ids beyond 2**53 would lose digits as floats, which nulls turn integers into
     ready = ready.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     files = sorted(map(tuple, ready.mapInPandas(archive, MANIFEST).collect()))  # a row for each file
@@ -157,7 +198,7 @@ def write(pages: DataFrame, uri: str, *, least: int = LEAST, roll_bytes: int = R
                     store.rename(old, new)
                 yield f
 
-        renamed = manifest.repartitionByRange(min(len(files), base.parts(spark)), "part", "roll").mapInPandas(commit, MANIFEST)
+        renamed = manifest.repartitionByRange(min(len(files), base.parts(spark)), "shard", "roll").mapInPandas(commit, MANIFEST)
         renamed.drop("temporary").write.mode("overwrite").parquet(f"{uri}/manifest")
     else:
         manifest.drop("temporary").write.mode("overwrite").parquet(f"{uri}/manifest")
@@ -237,4 +278,4 @@ def read(manifest: DataFrame) -> DataFrame:
                     out[c] = pd.array([None if x is None else int(x) for x in out[c]], dtype="Int64")
                 yield out
 
-    return manifest.select("part", "roll", "uri").repartitionByRange(n, "part", "roll").mapInPandas(parse, READ)
+    return manifest.select("shard", "roll", "uri").repartitionByRange(n, "shard", "roll").mapInPandas(parse, READ)
