@@ -71,6 +71,27 @@ def test_scores_are_those_of_the_plain_tree(spark, docs, rows):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9, abs=1e-9)
 
 
+def test_divided_pairs_and_parts_give_the_same(spark, docs, monkeypatch):
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.score)
+    want = sorted(key(r) for r in ctw.scored(docs, depth=5).collect())
+    monkeypatch.setattr(ctw, "ASKED", 300)
+    got = sorted(key(r) for r in ctw.scored(docs, depth=5, most=40).collect())
+    for g, w in zip(got, want, strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], rel=1e-9, abs=1e-9)
+
+
+def test_packs_keep_strings():
+    rng = np.random.default_rng(1)
+    for depth in (3, 6, 7):
+        keys = np.unique(rng.integers(0, 1 << 40, 500).astype(np.uint64) & np.uint64((1 << 8 * (depth - 1)) - 1)) | np.uint64(0xFEFF << 8 * (depth - 1))
+        n = rng.integers(0, 1 << 50, len(keys))
+        assert (ctw.unpack_keys(ctw.pack_keys(keys, depth), len(keys), 0xFEFF, depth) == keys).all()
+        assert (ctw.unpack_counts(ctw.pack_counts(n), len(n)) == n).all()
+        assert (ctw.turned(ctw.turned(keys, depth), depth) == keys).all()
+    x = -rng.random(500) * 9
+    assert ctw.unpack_values(ctw.pack_values(x), 500) == pytest.approx(x, rel=2e-10)
+
+
 def test_base_scores(docs, rows):
     got = ctw.scored(docs).collect()
     words = lambda t: [*brute.words(low(t)), None]

@@ -26,7 +26,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ctw
 
-    found = ctw.scored(base.table(spark, sf_dir, "documents"), depth=ctw.DEEPEST)
+    found = ctw.scored(base.table(spark, sf_dir, "documents"), depth=ctw.QUERY_DEPTH)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
