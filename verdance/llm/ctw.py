@@ -391,7 +391,7 @@ MOST = 1 << 21
 #: Strings that a task works on together, in whole packs.
 TOGETHER = 1 << 19
 #: Strings of a pair that one task merges, or looks up, when blocks ask for more.
-ASKED = 1 << 26
+ASKED = 1 << 23
 
 KNOWN = "pair int, third int, n long, keys binary, counts binary"
 
