@@ -148,3 +148,58 @@ def test_items_made_mostly_of_numbers():
     assert _in_text("please add 5 11 23 8 71 64 get 182 9 2 1 now", item)
     assert not _in_text("5 11 23 8 71 64 182 9 2 1 14 15 16 18 19", item)
     assert not _in_text("please add 5 11 5 8 71 64 get 182 9 2 1 now", item)  # 3 and 29 are not one value
+
+
+QUESTIONS = (
+    "{0} bought {3} apples at the market on {6} Street and gave {4} of them to {1} before noon. How many apples has {0} left?",
+    "{0} kaufte {3} kg Mehl und {4} kg Zucker für den Kuchen, den {1} am {5}. Mai backen will. Wie viel Mehl und Zucker hat {0}?",
+    "A tank holds {3} litres; {4} litres flow out in {5} minutes. When is the tank that {0} filled empty?",
+    "{0} et {1} ont {3} pommes. {2} en mange {4}. Combien de pommes restent à {0} et {1} ?",
+    "add {3} {4} {5} to {3} and take {4} {5} from it then {5} {4} {3} again",
+    "what is the capital of the country that lies north of the sea and south of the mountains",
+)
+
+
+def _filled(rng, form):
+    names = ["Anna", "Bob", "Clara", "Émile", "Frida", "Georg", "Hanna", "Otto"]
+    numbers = ["3", "12", "7.5", "forty-two", "nine", "1,000", "88", "5"]
+    return form.format(*rng.choice(names, 3, replace=False), *rng.choice(numbers, 3, replace=False), rng.choice(names))
+
+
+def test_matches_are_those_of_plain_comparison(spark, docs, rows):
+    rng = np.random.default_rng(23)
+    items = [(i % 7 if i % 5 else None, _filled(rng, QUESTIONS[i % len(QUESTIONS)])) for i in range(24)]
+    items += [items[0], items[7], (3, None), (4, ""), (5, "hello world"), (None, "one two three"), (8, rows[9][1])]
+    noise = "the old house and the sea are far from here so we walk".split()
+    texts = []
+    for i in range(60):
+        words = _filled(rng, QUESTIONS[i % len(QUESTIONS)]).split(" ")
+        if i % 4 == 0:
+            words[int(rng.integers(0, len(words)))] = str(rng.choice(noise))
+        if i % 3 == 0:
+            words = [*rng.choice(noise, 30), *words, *rng.choice(noise, 30), *_filled(rng, QUESTIONS[(i + 1) % len(QUESTIONS)]).split(" ")]
+        texts.append((None if i % 11 == 0 else i % 50, " ".join(words)))
+    texts += [texts[3], texts[4], *rows, (70, "Hello world, and one two three"), (71, " ".join([items[1][1], "x"] * 300))]
+    number_words, units = set(decontam.NUMBER_WORDS), set(decontam.UNITS)
+    want, bad = Counter(), set()
+    for doc_id, text in texts:
+        for item_id, item in items:
+            if (m := brute.contamination(text, item, number_words, units)) is not None:
+                want[doc_id, item_id, *m] += 1
+                bad.add(text)
+    assert len({w[-1] for w in want}) == 2 and len(want) > 60
+    corpus = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, item_id string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    for more in ({}, {"block_bytes": 1, "filter_bits": 1 << 8}):
+        assert Counter(map(tuple, decontam.matches(corpus, bench, **more).collect())) == want
+        kept = Counter((r.doc_id, r.text) for r in decontam.clean(corpus, bench, **more).collect())
+        assert kept == Counter((i, t) for i, t in texts if t not in bad)
+
+
+def test_items_with_equal_and_null_ids_each_match(spark):
+    items = [(7, ITEM), (7, "another question about the weight of 12 kg of sand in the yard"), (None, ITEM), (None, "what is the name of the river that flows through the old town")]
+    docs = spark.createDataFrame([(1, items[0][1]), (2, items[3][1]), (3, " ".join(t for _, t in items))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontam.BLOCK_BYTES, 1):
+        got = Counter((r.doc_id, r.item_id) for r in decontam.matches(docs, bench, block_bytes=size).collect())
+        assert got == Counter({(1, 7): 1, (1, None): 1, (2, None): 1, (3, 7): 2, (3, None): 2})
