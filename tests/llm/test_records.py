@@ -89,6 +89,14 @@ def test_packing_is_gapless_and_complete(docs, rows):
     assert found.sequence_id.nunique() <= packing.lower_bound(counts) + 1
 
 
+def test_salts_change_no_places_but_ranks(docs):
+    found = base.stored(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "t-pieces")
+    one, many = (packing.pack(found, per_salt=n).toPandas() for n in (1 << 20, 3))
+    for f in (one, many):
+        assert not f.duplicated(["sequence_id", "offset"]).any() and len(f) == found.count()
+    assert one.sequence_id.nunique() == many.sequence_id.nunique()
+
+
 def test_nothing_to_pack(empty):
     assert packing.packed(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 

@@ -3,15 +3,17 @@
 Lengths are integers up to the capacity, so the whole problem is a histogram of
 at most ``capacity`` counts, whatever the size of the corpus.  On the driver,
 ``plan`` fills windows: the longest remaining length leaves a gap; a single
-length, a pair or a triple whose sum equals the gap exactly (looked up by sum)
-completes the window, as often as the counts allow at once.  Lengths without an
+length, a pair or a triple whose sum equals the gap exactly completes the window,
+as often as the counts allow at once.  Pairs and triples are indexed by their sum;
+counts only fall, so entries used up leave the index for good.  Lengths without an
 exact complement are then placed by best fit, decreasing, again by counts.  The
 plan is a list of patterns with multiplicities; each use takes a length's last
 piece or a pattern's last window, so it stays within a few patterns a length.
 
 Pieces learn their window by their rank among the pieces of equal length.  Ranks
-come from windows over (length, salt) with the counts of earlier salts added, so
-a length that a third of all pieces have is spread over many tasks.
+come from windows over (length, salt) with the counts of earlier salts added; a
+length has a salt for each ``PER_SALT`` of its pieces, so one that a third of all
+pieces have is spread over many tasks, and there are few salts besides.
 
 Cases: a null text is empty and gives one piece, the end id; repeated rows are
 packed each on their own; an empty table gives no rows; further columns are
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,8 @@ from .tokenizing import encoder
 
 CAPACITY = 2048
 END_ID = 0
+#: Pieces of one length that a task numbers.
+PER_SALT = 1 << 20
 
 PIECES = "doc_id long, text_key long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,65 +64,88 @@ def pieces(docs: DataFrame, vocabulary: str, *, keeps_space: bool = False, capac
 
 
 class _Counts:
-    """How many pieces of each length are left, with the complements of a gap."""
+    """How many pieces of each length are left, with pairs and triples indexed by their sum."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
-        self.left = np.zeros(capacity + 1, np.int64)
+        self.left = [0] * (capacity + 1)
         for length, n in counts.items():
             self.left[length] = n
+        self.held: list[int] = []  # a piece each that is set aside while a combination is looked for
+        self.pairs: dict[int, list[int]] = {}  # sum: the longer lengths, ascending
+        self.triples: dict[int, list[int]] = {}  # sum: the first lengths, ascending
 
     def times(self, combination: tuple[int, ...]) -> int:
         """How often the counts allow the combination."""
-        return min(int(self.left[x]) // combination.count(x) for x in combination)
+        return min(self.left[x] // combination.count(x) for x in combination)
+
+    def use(self, combination: tuple[int, ...], n: int) -> None:
+        for x in combination:
+            self.left[x] -= n
+
+    def gone(self, length: int) -> bool:
+        return not self.left[length] and length not in self.held
+
+    @contextmanager
+    def holding(self, length: int) -> Iterator[None]:
+        self.left[length] -= 1
+        self.held.append(length)
+        yield
+        self.held.pop()
+        self.left[length] += 1
 
     def pair(self, total: int) -> tuple[int, int] | None:
         """Two available lengths of this sum, the most unequal first."""
-        if total < 2:
-            return None
-        there = self.left[1:total] > 0
-        both = np.flatnonzero(there & there[::-1]) + 1
-        for a in both[::-1]:
-            if 2 * a != total or self.left[a] >= 2:
-                return int(a), int(total - a)
+        if total not in self.pairs:
+            self.pairs[total] = [a for a in range((total + 1) // 2, total) if not (self.gone(a) or self.gone(total - a))] if total > 1 else []
+        found = self.pairs[total]
+        while found and (self.gone(found[-1]) or self.gone(total - found[-1])):
+            found.pop()
+        for a in reversed(found):
+            if self.left[a] > (2 * a == total) and self.left[total - a]:
+                return a, total - a
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three available lengths of this sum, the longest first as far as there are pairs for it."""
+        if total not in self.triples:
+            self.triples[total] = [a for a in range(1, total - 1) if not self.gone(a)]
+        found = self.triples[total]
+        while found and self.gone(found[-1]):
+            found.pop()
+        for a in reversed(found):
+            if self.left[a]:
+                with self.holding(a):
+                    two = self.pair(total - a)
+                if two:
+                    return a, *two
         return None
 
     def complement(self, length: int) -> tuple[int, ...] | None:
         """A combination of the length and one to three more that fills a window."""
         gap = len(self.left) - 1 - length
-        self.left[length] -= 1
-        try:
-            if self.left[gap] > 0:
+        with self.holding(length):
+            if self.left[gap]:
                 return (length, gap)
-            if two := self.pair(gap):
-                return (length, *two)
-            for a in np.flatnonzero(self.left[:max(gap - 1, 0)])[::-1]:
-                self.left[a] -= 1
-                two = self.pair(gap - int(a))
-                self.left[a] += 1
-                if two:
-                    return (length, int(a), *two)
-        finally:
-            self.left[length] += 1
-        return None
+            found = self.pair(gap) or self.triple(gap)
+        return (length, *found) if found else None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one window) with the number of windows that use each."""
     have, out = _Counts(counts, capacity), []
     if have.left[capacity]:
-        out.append(((capacity,), int(have.left[capacity])))
+        out.append(((capacity,), have.left[capacity]))
         have.left[capacity] = 0
     stuck: dict[int, int] = {}
     for length in range(capacity - 1, 0, -1):
         while have.left[length]:
             got = have.complement(length)
             if got is None:
-                stuck[length] = int(have.left[length])
+                stuck[length] = have.left[length]
                 have.left[length] = 0
                 break
             n = have.times(got)
-            for x in got:
-                have.left[x] -= n
+            have.use(got, n)
             out.append((got, n))
     return out + best_fit(stuck, capacity)
 
@@ -175,21 +203,21 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], counts: dict[int, int]) -
     return {"begin": a[:, 0], "window": a[:, 1], "offset": a[:, 2]}
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, per_salt: int = PER_SALT) -> DataFrame:
     """Give each piece (doc_id, text_key, piece, length, ...) its sequence_id and offset."""
     spark = base.prepare(found.sparkSession)
-    salts = max(16, base.parts(spark))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "piece"), F.lit(salts)).cast("int"))
-    groups = salted.groupBy("length", "salt").count().collect()  # at most capacity x salts rows
-    counts: dict[int, int] = {}
-    base_of = np.zeros((capacity + 1, salts), np.int64)
-    for length, salt, n in groups:
+    totals = {int(length): n for length, n in found.groupBy("length").count().collect()}  # at most a row for each length
+    salts = {length: -(-n // per_salt) for length, n in totals.items()}
+    of_length = F.broadcast(spark.createDataFrame(sorted(salts.items()), "length long, salts long"))  # the same
+    salt = F.pmod(F.xxhash64("doc_id", "text_key", "piece"), "salts").cast("int")
+    salted = found.join(of_length, "length").withColumn("salt", salt).select(*found.columns, "salt")
+    base_of = np.zeros((capacity + 1, max(salts.values(), default=1)), np.int64)
+    for length, salt, n in salted.groupBy("length", "salt").count().collect():  # as many besides as PER_SALT goes into the pieces
         base_of[length, salt] = n
-    totals = base_of.sum(axis=1)
-    counts = {int(x): int(totals[x]) for x in np.flatnonzero(totals)}
+    counts = totals
     where = slots(plan(counts, capacity), counts)
     before = np.concatenate([[0], np.cumsum(base_of.ravel())[:-1]]).reshape(base_of.shape)
-    known = spark.sparkContext.broadcast((before, where))  # bounded by the capacity and the number of salts
+    known = spark.sparkContext.broadcast((before, where))
     kind = found.schema.fieldNames()
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -62,6 +62,7 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
 )
 RULES = BASE_RULES + MORE_RULES
+MASK = "[SECRET]"
 
 # --- trigram queries -----------------------------------------------------------
 
@@ -189,11 +190,8 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.aggregate(each, first, add, lambda acc: acc["spans"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs with spans: array of (start, kind number, end, name), by start and then rule order.
-
-    All columns of docs are kept, but for one that is called spans.
-    """
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Whole rows as __row, and their spans as __spans."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ALWAYS}
     trigrams = sorted(set().union(*(c for q in queries.values() for c in q)))
     keyed = docs.select(base.whole_row(docs), "doc_id", base.text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("t"))
@@ -208,8 +206,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if r.sign:
             test = test & F.rlike("t", F.lit(r.sign))
         found.append(F.when(test, _spans(r, i)).otherwise(none))
-    kept = [c for c in base.columns_of(docs) if c[0] != "spans"]
-    return keyed.select(*[c for _, c in kept], F.array_sort(F.concat(*found)).alias("spans"))
+    return keyed.select("__row", F.array_sort(F.concat(*found)).alias("__spans"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs with spans: array of (start, kind number, end, name), by start and then rule order.
+
+    All columns of docs are kept, but for one that is called spans.
+    """
+    return _scanned(docs, rules).select(*[c for name, c in base.columns_of(docs) if name != "spans"], F.col("__spans").alias("spans"))
+
+
+def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -> DataFrame:
+    """The rows of docs, with all columns, and each stretch of their texts that holds a secret replaced by the mask."""
+    text = F.col("__row").getField("text")
+    covered = F.when(F.size("__spans") > 0, _covered(text, F.col("__spans"), mask)).otherwise(text)
+    return _scanned(docs, rules).select(*[covered.alias("text") if name == "text" else c for name, c in base.columns_of(docs)])
 
 
 def listed(spans: Column) -> Column:
@@ -221,16 +233,19 @@ def count(kind: int) -> Column:
     return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
 
 
-def redacted(found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The texts with each stretch that spans cover replaced by the mask."""
+def _covered(text: Column, spans: Column, mask: str) -> Column:
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(acc: Column, x: Column) -> Column:
         # spans of several rules may overlap: only what lies beyond the last end is new
-        kept = F.substring("text", acc["at"] + 1, x["start"] - acc["at"])
+        kept = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
         apart = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["parts"], F.array(kept, F.lit(mask))).alias("parts"))
         over = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["parts"].alias("parts"))
         return F.when(x["start"] >= acc["at"], apart).otherwise(over)
 
-    done = F.aggregate("spans", first, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring("text", acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).drop("spans")
+    return F.aggregate(spans, first, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redacted(found: DataFrame, mask: str = MASK) -> DataFrame:
+    """The texts of scan()'s rows with each stretch that spans cover replaced by the mask."""
+    return found.withColumn("text", F.when(F.size("spans") > 0, _covered(F.col("text"), F.col("spans"), mask)).otherwise(F.col("text"))).drop("spans")

@@ -167,7 +167,8 @@ def write(docs: DataFrame, vocabulary: str, uri: str, *, keeps_space: bool = Tru
             close()
         yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["part", "roll", "uri", "records", "ids"]), schema=pa.schema([("part", pa.int32()), ("roll", pa.int32()), ("uri", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]), preserve_index=False)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(base.parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the first characters too, so that many rows of one id, or of none, are not one task's
+    ordered = docs.select("doc_id", "text").repartitionByRange(base.parts(spark), "doc_id", F.substring("text", 1, 40)).sortWithinPartitions("doc_id", "text")
     found = sorted(map(tuple, ordered.mapInArrow(shards, MANIFEST).collect()))  # a row for each shard file
     start, rows = 0, []
     for row in found:
