@@ -36,11 +36,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars counted again."""
-    out = secret_scan.redacted(secret_scan.scan(docs))
+    out = secret_scan.masked(docs)
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
-        out = out.withColumn("n_chars", changed)
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+    return out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
