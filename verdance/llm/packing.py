@@ -12,8 +12,8 @@ piece or a pattern's last window, so it stays within a few patterns a length.
 
 Pieces learn their window by their rank among the pieces of equal length.  Ranks
 come from windows over (length, salt) with the counts of earlier salts added; a
-length has a salt for each ``PER_SALT`` of its pieces, so one that a third of all
-pieces have is spread over many tasks, and there are few salts besides.
+length has a salt for each ten-thousandth of all pieces, so one that a third of them
+have is spread over many tasks, and there are few salts besides.
 
 Cases: a null text is empty and gives one piece, the end id; repeated rows are
 packed each on their own; an empty table gives no rows; further columns are
@@ -37,8 +37,8 @@ from .tokenizing import encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of one length that a task numbers.
-PER_SALT = 1 << 20
+#: Salts besides one for each length, if they have LEAST pieces each.
+SALTS, LEAST = 10_000, 1_000
 
 PIECES = "doc_id long, text_key long, piece int, start long, length long, ids_crc32 long"
 
@@ -203,16 +203,17 @@ def slots(patterns: list[tuple[tuple[int, ...], int]], counts: dict[int, int]) -
     return {"begin": a[:, 0], "window": a[:, 1], "offset": a[:, 2]}
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, per_salt: int = PER_SALT) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, per_salt: int | None = None) -> DataFrame:
     """Give each piece (doc_id, text_key, piece, length, ...) its sequence_id and offset."""
     spark = base.prepare(found.sparkSession)
     totals = {int(length): n for length, n in found.groupBy("length").count().collect()}  # at most a row for each length
+    per_salt = per_salt or max(LEAST, -(-sum(totals.values()) // SALTS))
     salts = {length: -(-n // per_salt) for length, n in totals.items()}
     of_length = F.broadcast(spark.createDataFrame(sorted(salts.items()), "length long, salts long"))  # the same
     salt = F.pmod(F.xxhash64("doc_id", "text_key", "piece"), "salts").cast("int")
     salted = found.join(of_length, "length").withColumn("salt", salt).select(*found.columns, "salt")
     base_of = np.zeros((capacity + 1, max(salts.values(), default=1)), np.int64)
-    for length, salt, n in salted.groupBy("length", "salt").count().collect():  # as many besides as PER_SALT goes into the pieces
+    for length, salt, n in salted.groupBy("length", "salt").count().collect():  # at most SALTS besides
         base_of[length, salt] = n
     counts = totals
     where = slots(plan(counts, capacity), counts)
