@@ -134,17 +134,60 @@ def plain_mcd(x: np.ndarray, s: quality.Settings) -> np.ndarray:
         b = np.sort(np.round(v * 50))
         return b[int(np.ceil(q * len(b))) - 1] / 50
 
-    m = np.array([order(c, 0.5) for c in x.T])
-    l = np.diag(np.sqrt(np.array([(order(c, 0.75) - order(c, 0.25)) / 1.349 for c in x.T]) ** 2 + np.array(s.ridge) ** 2))  # noqa: E741
-    for step in range(s.steps + 1):
-        d2 = (np.linalg.solve(l, (x - m).T) ** 2).sum(0)
-        if step == s.steps:
-            return d2 / s.consistency
-        b = np.floor(s.bins * np.log(np.maximum(d2, 1e-4)))
-        limit = np.sort(b)[int(np.ceil(s.share * len(b))) - 1]
-        near = x[b <= limit]
-        m = near.mean(0)
-        l = np.linalg.cholesky(np.cov(near.T, bias=True) + np.diag(np.array(s.ridge) ** 2))  # noqa: E741
+    ridge = np.diag(np.array(s.ridge) ** 2)
+    middle = np.all([(np.round(c * 50) >= np.round(order(c, 0.1) * 50)) & (np.round(c * 50) <= np.round(order(c, 0.9) * 50)) for c in x.T], axis=0)
+    starts = [(np.array([order(c, 0.5) for c in x.T]), np.diag([((order(c, 0.75) - order(c, 0.25)) / 1.349) ** 2 for c in x.T]) + ridge)]
+    starts += [(y.mean(0), np.cov(y.T, bias=True) + ridge) for y in (x, x[middle]) if len(y)]
+
+    def distance(m, c):
+        return (np.linalg.solve(np.linalg.cholesky(c), (x - m).T) ** 2).sum(0)
+
+    def step(m, c):
+        b = np.floor(s.bins * np.log(np.maximum(distance(m, c), 1e-4)))
+        near = x[b <= np.sort(b)[int(np.ceil(s.share * len(b))) - 1]]
+        return near.mean(0), np.cov(near.T, bias=True) + ridge
+
+    for _ in range(s.trial):
+        starts = [step(*p) for p in starts]
+    best = min(starts, key=lambda p: np.linalg.slogdet(p[1])[1])
+    for _ in range(s.steps - s.trial):
+        best = step(*best)
+    return distance(*best) / s.consistency
+
+
+def vectors(got) -> np.ndarray:
+    n = got.n_words
+    return np.stack([np.log(1 + got.word_chars / n), np.log1p(100 * got.n_symbols / got.word_chars), np.log1p(20 * got.n_dup_lines / got.n_lines), np.log1p(20 * got.n_repeat_words / n), np.log1p(n)], 1)
+
+
+def test_constants_follow_from_share_and_dimension():
+    s = quality.Settings()
+    assert s.cutoff == pytest.approx(15.0863, abs=1e-4) and s.consistency == pytest.approx(1.41, abs=5e-3)
+    rng = np.random.default_rng(0)
+    for share in (0.5, 0.75, 1.0 - 1e-12):
+        d2 = (rng.standard_normal((400_000, 5)) ** 2).sum(1)
+        near = d2 <= np.quantile(d2, share)
+        # the scatter of the closest share, times the factor, is that of all
+        assert quality.Settings(share=share).consistency * d2[near].mean() / 5 == pytest.approx(1, abs=0.01)
+
+
+def test_small_groups_fall_back(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefg"), k)) for k in rng.integers(2, 9, 500)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, text(80 + i % 40), "en", "big") for i in range(150)] + [(200 + i, text(90), "en", f"small{i % 2}") for i in range(10)]
+    rows += [(300 + i, text(90), "de", "x") for i in range(5)] + [(400 + i, text(90), None, f"y{i}") for i in range(60)] + [(500, text(90) + " ###" * 400, "*", None), (501, text(90) + " ###" * 400, "en", "small0")]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    x, s, ok = vectors(got).astype(float), quality.Settings(), ~got.base_failed.to_numpy()
+    groups = {"big": got.source == "big", "en": got.lang == "en", "pool": got.lang.isna(), "all": got.doc_id >= 0}
+    want = {k: np.full(len(got), np.nan) for k in groups}
+    for k, g in groups.items():
+        want[k][ok & g] = plain_mcd(x[ok & g], s)
+    of = ["big" if a == "big" else "en" if b == "en" else "pool" if b is None or b != b else "all" for a, b in zip(got.source, got.lang)]
+    for i, k in enumerate(of):
+        if ok[i]:
+            assert got.distance[i] == pytest.approx(want[k][i], rel=1e-6), (got.doc_id[i], k)
+    assert not got.kept[got.doc_id >= 500].any() and got.kept[(got.doc_id < 500) & ok].mean() > 0.9
 
 
 def test_distances_are_those_of_plain_mcd(spark):
@@ -153,8 +196,7 @@ def test_distances_are_those_of_plain_mcd(spark):
     rows = [(i, " ".join(rng.choice(words, 80 + i % 40)) + (" ### $$$" * 60 if i % 20 == 0 else ""), "en", "s") for i in range(200)]
     got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().sort_values("doc_id")
     s = quality.Settings()
-    n = got.n_words
-    x = np.stack([np.log(1 + got.word_chars / n), np.log1p(100 * got.n_symbols / got.word_chars), np.log1p(20 * got.n_dup_lines / got.n_lines), np.log1p(20 * got.n_repeat_words / n), np.log1p(n)], 1)
+    x = vectors(got)
     ok = ~got.base_failed.to_numpy()
     assert got.distance[ok] .to_numpy() == pytest.approx(plain_mcd(x[ok], s), rel=1e-6)
     assert not got.kept[got.doc_id % 20 == 0].any() and got.kept[(got.doc_id % 20 != 0) & ok].mean() > 0.98
