@@ -118,6 +118,10 @@ class Cleanup:
     snow: bool = False
     dilate: int = 0
 
+    def __post_init__(self) -> None:
+        if self.dilate < 0:
+            raise ValueError("dilate must be at least 0")
+
     @property
     def classes(self) -> list[int]:
         return [k for k, on in ((3, self.cloud_shadow), (8, self.cloud_medium), (9, self.cloud_high), (10, self.thin_cirrus), (11, self.snow)) if on]

@@ -102,9 +102,9 @@ def within(value: Column, low: float, high: float) -> Column:
 def autoscaled(px: DataFrame, bands: list[str], by: list[str], share: float = 0.999, limit: float = 1.5, scale: float = 10_000.0) -> DataFrame:
     """Divide a scene's band by the scale if its 99.9th percentile shows digital numbers.
 
-    The decision is made for each scene and band by itself.  The percentile is exact
+    The decision is made for each scene and band by itself, from values that are not NaN.  The percentile is exact
     and comes from counts of distinct values, which combine before the shuffle.
     """
-    tops = px.groupBy(*by).agg(*[F.percentile(F.col(b).cast("double"), F.lit(share)).alias(f"top_{b}") for b in bands])
+    tops = px.groupBy(*by).agg(*[F.percentile(F.when(~F.isnan(b), F.col(b)).cast("double"), F.lit(share)).alias(f"top_{b}") for b in bands])
     scaled = {b: F.when(F.col(f"top_{b}") > limit, single(F.col(b) / f32(scale))).otherwise(F.col(b)) for b in bands}
     return px.join(tops, by).withColumns(scaled).drop(*[f"top_{b}" for b in bands])

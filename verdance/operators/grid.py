@@ -44,14 +44,54 @@ def cells(scenes: DataFrame, grid: Grid) -> DataFrame:
     return scenes.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid.height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x"))
 
 
-def nearest(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: list[str], fill: float = 0.0) -> DataFrame:
-    """Values of the source cells that target cells' middles fall into; fill outside."""
+def _geographic(crs: str) -> bool:
+    return crs == "EPSG:4326"
+
+
+def _zone(crs: str) -> tuple[int, bool] | None:
+    """Zone and whether it is southern, of UTM on WGS 84."""
+    code = int(crs[5:]) if crs.startswith("EPSG:") and crs[5:].isdigit() else 0
+    return (code % 100, code // 100 == 327) if code // 100 in (326, 327) and 1 <= code % 100 <= 60 else None
+
+
+def reprojected(east: Column, north: Column, source: str, target: str) -> tuple[Column, Column]:
+    """Coordinates of one reference system in another: degrees or UTM, both on WGS 84.
+
+    Systems that are not named on both sides are taken to be the same; others are refused.
+    """
+    if source == target or not source or not target:
+        return east, north
+    if not all(_geographic(c) or _zone(c) for c in (source, target)):
+        raise ValueError(f"cannot project {source} to {target}")
+    if (zone := _zone(source)) is not None:
+        east, north = from_utm(east, north - F.lit(1e7) if zone[1] else north, zone[0])
+    if (zone := _zone(target)) is not None:
+        east, north = utm(east, north, zone[0])
+        north = north + F.lit(1e7) if zone[1] else north
+    return east, north
+
+
+def _sought(source: Grid, target: Grid) -> tuple[Column, Column]:
+    """Fractional row and column of the source at each target cell's middle."""
+    return source.place(*reprojected(*target.centre(F.col("y"), F.col("x")), target.crs, source.crs))
+
+
+def aligned(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: list[str], unfilled: list[str] | None = None) -> DataFrame:
+    """The pixels on the target grid: as they are if it is the same, else the nearest; 0 or false outside, NULL for unfilled."""
+    if source.same(target):
+        return px
+    return nearest(px, source, target, by, bands, unfilled=unfilled)
+
+
+def nearest(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: list[str], fill: float = 0.0, unfilled: list[str] | None = None) -> DataFrame:
+    """Values of the source cells that target cells' middles fall into; fill outside, NULL for unfilled columns."""
     scenes = px.select(*by).distinct()
-    r, c = source.place(*target.centre(F.col("y"), F.col("x")))
+    r, c = _sought(source, target)
     want = cells(scenes, target).withColumns({"sy": F.floor(r).cast("int"), "sx": F.floor(c).cast("int")})
-    have = px.select(*by, F.col("y").alias("sy"), F.col("x").alias("sx"), *bands)
+    kinds, rest = dict(px.dtypes), unfilled or []
+    have = px.select(*by, F.col("y").alias("sy"), F.col("x").alias("sx"), *bands, *rest, F.lit(True).alias("there"))
     out = want.join(have, [*by, "sy", "sx"], "left")
-    return out.select(*by, "y", "x", *[F.coalesce(b, F.lit(fill).cast(dict(px.dtypes)[b])).alias(b) for b in bands])
+    return out.select(*by, "y", "x", *[F.when(F.col("there").isNull(), F.lit(fill).cast(kinds[b])).otherwise(F.col(b)).alias(b) for b in bands], *rest)
 
 
 def bilinear(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: list[str]) -> DataFrame:
@@ -60,7 +100,7 @@ def bilinear(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: li
     Missing neighbours leave the others' weights to count for all; NULL if there are none.
     """
     scenes = px.select(*by).distinct()
-    r, c = source.place(*target.centre(F.col("y"), F.col("x")))
+    r, c = _sought(source, target)
     want = cells(scenes, target).withColumns({"fr": r - F.lit(0.5), "fc": c - F.lit(0.5)})
     want = want.withColumns({"y0": F.floor("fr").cast("int"), "x0": F.floor("fc").cast("int")}).withColumns({"wy": F.col("fr") - F.col("y0"), "wx": F.col("fc") - F.col("x0")})
     corner = lambda i, j: F.struct((F.col("y0") + i).alias("sy"), (F.col("x0") + j).alias("sx"), ((F.col("wy") if i else 1 - F.col("wy")) * (F.col("wx") if j else 1 - F.col("wx"))).alias("w"))
@@ -115,6 +155,28 @@ def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     return F.lit(500_000.0) + F.lit(k0 * a) * east, F.lit(k0 * a) * north
 
 
+def from_utm(east: Column, north: Column, zone: int) -> tuple[Column, Column]:
+    """Longitude and latitude of easting and northing, by the inverse series."""
+    import math
+
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = north / F.lit(0.9996 * a), (east - F.lit(500_000.0)) / F.lit(0.9996 * a)
+    xi1, eta1 = xi, eta
+    for j, b in enumerate(beta, 1):
+        xi1 = xi1 - F.lit(b) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        eta1 = eta1 - F.lit(b) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + F.lit(d) * F.sin(2 * j * chi)
+    lam = F.atan2(F.sinh(eta1), F.cos(xi1))
+    return F.degrees(lam) + F.lit(zone * 6.0 - 183.0), F.degrees(phi)
+
+
 def edges_to_utm(edges: Column, zone: int) -> Column:
     """Polygon sides in degrees as sides in metres of a UTM zone."""
     def side(e: Column) -> Column:

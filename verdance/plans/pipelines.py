@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import masks, spectral, text
 from ..operators import change, envelope, neighbourhood, render, scenes, stands, zonal
-from ..operators.neighbourhood import sieved
+from ..operators.grid import Grid, aligned
+from ..operators.lineage import cut
+from ..operators.neighbourhood import sieved_together
 from .queries import edge_clear
 
 CHANGE_BANDS = ("B02", "B03", "B04", "B08", "B8A", "B11", "B12")
@@ -49,26 +51,26 @@ def _date(px: DataFrame, low: float, high: float, s: ChangeSettings) -> DataFram
     return out.select("y", "x", "r", "g", "b", "keep_raw", "keep", "data", "cloud_valid", "shadow_valid", "clear_spectral", "scl_invalid", "scl_clear", "clear")
 
 
-def bitemporal_change(pre: DataFrame, post: DataFrame, settings: ChangeSettings | None = None) -> DataFrame:
+def bitemporal_change(pre: DataFrame, post: DataFrame, settings: ChangeSettings | None = None, grids: tuple[Grid, Grid] | None = None) -> DataFrame:
     """All masks and renderings of a comparison, a row for each pixel of both scenes.
 
-    pre, post: one scene each on one grid: scene, y, x, valid, the seven bands,
+    grids: of pre and post; post is aligned to pre's unless they are the same.
+    pre, post: one scene each, on one grid if none are given: scene, y, x, valid, the seven bands,
     scl (NULL without a classification).  Masks are Boolean; sieved losses are
     loss_<n> and loss_raw_<n>; colours are columns <layer>_<channel>.
     """
     s = settings or ChangeSettings()
+    if grids is not None:
+        post = aligned(post, grids[1], grids[0], ["scene"], ["valid", *[b.lower() for b in CHANGE_BANDS]], ["scl"])
     px = change.paired(_date(pre, *s.ndvi["pre"], s), _date(post, *s.ndvi["post"], s), ["y", "x"])
     valid = F.col("pre_clear") & F.col("post_clear")
     px = px.withColumn("comparison_valid", valid)
     px = px.withColumns(change.change(F.col("pre_keep"), F.col("post_keep"), valid))
     px = px.withColumns({f"{k}_raw": c for k, c in change.change(F.col("pre_keep_raw"), F.col("post_keep_raw"), F.lit(True)).items()})
-    for name in ("loss", "loss_raw"):
-        for n in s.patches:
-            mask = px.select(F.lit(0).alias("one"), "y", "x", F.col(name).alias("value"))
-            kept = sieved(mask, n, ["one"]).select("y", "x", F.col("value").alias(f"{name}_{n}"))
-            px = px.join(kept, ["y", "x"])
-            if s.remask_after_sieve and name == "loss":
-                px = px.withColumn(f"{name}_{n}", F.col(f"{name}_{n}") & F.col("comparison_valid"))
+    px = cut(px)
+    px = px.join(sieved_together(px, {f"{name}_{n}": (F.col(name), n) for name in ("loss", "loss_raw") for n in s.patches}), ["y", "x"])
+    if s.remask_after_sieve:
+        px = px.withColumns({f"loss_{n}": F.col(f"loss_{n}") & F.col("comparison_valid") for n in s.patches})
     return px.withColumns(_layers(s, "loss", "keep", True) | _layers(s, "loss_raw", "keep_raw", False))
 
 
@@ -104,15 +106,15 @@ def deforestation(px: DataFrame, detect: masks.Detection | None = None, clean: m
         for d in ("pre_", "post_"):
             wide = neighbourhood.dilated(px.select(F.lit(0).alias("one"), "y", "x", F.col(f"{d}cleanup").alias("value")), clean.dilate, ["one"])
             px = px.drop(f"{d}cleanup").join(wide.select("y", "x", F.col("value").alias(f"{d}cleanup")), ["y", "x"])
+    px = cut(px)
     n = px.where("valid_both").limit(least_valid).count()
     if n < least_valid:
         raise RuntimeError(f"only {n} pixels are valid on both dates")
     dirty = {"pre_vegetated": F.col("pre_cleanup"), "post_nonveg_nbr": F.col("post_cleanup"), "post_nonveg": F.col("post_cleanup"), "deforested": F.col("pre_cleanup") | F.col("post_cleanup")}
     domain = {"pre_vegetated": "valid_pre", "post_nonveg_nbr": "valid_post", "post_nonveg": "valid_post", "deforested": "valid_both"}
-    for name, bad in dirty.items():
-        for suffix, value in (("before_cleanup", F.col(name)), ("clean", F.col(name) & ~bad)):
-            kept = sieved(px.select(F.lit(0).alias("one"), "y", "x", value.alias("value")), detect.min_patch, ["one"])
-            px = px.join(kept.select("y", "x", F.col("value").alias(f"{name}_{suffix}")), ["y", "x"]).withColumn(f"{name}_{suffix}", F.col(f"{name}_{suffix}") & F.col(domain[name]))
+    stacked = {f"{name}_{suffix}": (value, detect.min_patch) for name, bad in dirty.items() for suffix, value in (("before_cleanup", F.col(name)), ("clean", F.col(name) & ~bad))}
+    px = px.join(sieved_together(px, stacked), ["y", "x"])
+    px = px.withColumns({f"{name}_{suffix}": F.col(f"{name}_{suffix}") & F.col(domain[name]) for name in dirty for suffix in ("before_cleanup", "clean")})
     for d in ("pre_", "post_"):
         px = px.withColumns({f"{d}ndvi": F.when(F.col(f"valid_{d[:-1]}"), spectral.norm_diff_eps(f"{d}b08", f"{d}b04")), f"{d}nbr": F.when(F.col(f"valid_{d[:-1]}"), spectral.norm_diff_eps(f"{d}b08", f"{d}b12"))})
     counts = px.agg(F.count_if("valid_both").alias("n_valid"), *[F.count_if(f"{k}_{s}").alias(f"n_{k}_{s}") for k in dirty for s in ("clean", "before_cleanup")])

@@ -1,7 +1,8 @@
 """GeoTIFF in NumPy: enough of the format for single and multi-band rasters.
 
 Reads classic little- and big-endian files in strips or tiles, uncompressed, LZW
-or deflate, with horizontal differencing, and a mask page or nodata value.
+or deflate, with horizontal or floating-point differencing, and a mask page or
+nodata value.  Rotated grids and other predictors are refused.
 Writes strips with deflate, LZW or nothing.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 
@@ -140,10 +142,15 @@ def _image(data: bytes, order: str, tags: dict[int, tuple]) -> np.ndarray:
         plane, cell = divmod(i, across * down) if apart else (0, i)
         y, x = divmod(cell, across)
         rows = th if tiled else min(th, height - y * th)
-        if packed:
+        if one(317, 1) == 3:  # differences of bytes, the most significant of all samples first
+            planes = np.cumsum(np.frombuffer(raw, np.uint8, rows * tw * depth * kind.itemsize).reshape(rows, -1, depth), axis=1, dtype=np.uint8)
+            block = np.ascontiguousarray(planes.reshape(rows, kind.itemsize, -1).transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, tw, depth)
+        elif packed:
             block = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, :tw, None]
         else:
             block = np.frombuffer(raw, kind, rows * tw * depth).reshape(rows, tw, depth)
+        if one(317, 1) not in (1, 2, 3):
+            raise ValueError(f"predictor {one(317)} is not known")
         if one(317, 1) == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         for b in range(depth):
@@ -161,12 +168,30 @@ def profile(data: bytes) -> Raster:
 
 def _placed(t: dict[int, tuple], bands: np.ndarray, valid: np.ndarray) -> Raster:
     scale, tie = t.get(33550, (1.0, 1.0, 0.0)), t.get(33922, (0.0,) * 6)
+    if 34264 in t:  # a matrix instead of a scale and a tie point
+        m = t[34264]
+        if m[1] or m[4]:
+            raise ValueError("the grid is rotated")
+        scale, tie = (m[0], -m[5], 0.0), (0.0, 0.0, 0.0, m[3], m[7], 0.0)
     keys = t.get(34735, ())
     codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
     code = codes.get(3072) or codes.get(2048)
     return Raster(bands, valid, tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1], scale[0], -scale[1], f"EPSG:{code}" if code else "", float(t[42113][0]) if 42113 in t else None)
 
 
+#: Bytes in which a file's header is looked for before all of it is read.
+HEAD = 1 << 16
+
+
+def profile_of(f: BinaryIO) -> Raster:
+    """profile() of an open file, from its first bytes where these hold the header."""
+    head = f.read(HEAD)
+    try:
+        return profile(head)
+    except (struct.error, IndexError, KeyError):
+        return profile(head + f.read())
+
+
 def read(data: bytes) -> Raster:
     order, pages = _pages(data)
     bands = _image(data, order, pages[0])
