@@ -166,3 +166,137 @@ def test_csv_also_in_an_archive(spark, tmp_path):
         z.writestr("in/t.csv", text)
     for path, member in (("t.csv", None), ("t.zip", "in/t.csv")):
         assert [tuple(r) for r in tables.csv(spark, f"{tmp_path}/{path}", "a int, b string", member).orderBy("a").collect()] == [(1, "x"), (2, None)]
+
+
+def test_bands_in_folders(spark, scene_dir, tmp_path):
+    top = tmp_path / "open"
+    for k in range(2):
+        d = top / f"S_202{k}-06-01" / "bands"
+        d.mkdir(parents=True)
+        for t in ("B04", "B08"):
+            (d / f"q_{t}_raw.TIF").write_bytes(geotiff.write(geotiff.Raster(np.full((1, 4, 5), k + 0.25, "f4"), np.ones((4, 5), bool), 1.0, 2.0, 1.0, -1.0, "EPSG:32635")))
+    rows = scenes.pixels(spark, str(top), ("B04", "B08"), scenes.BAND_FILES).collect()
+    assert {(r.scene, str(r.date_name), r.b04) for r in rows} == {("S_2020-06-01", "2020-06-01", 0.25), ("S_2021-06-01", "2021-06-01", 1.25)} and len(rows) == 40
+    one = f"{top}/S_2020-06-01/bands"
+    assert {r.scene for r in scenes.pixels(spark, one, ("B04",), scenes.BAND_FILES).collect()} == {"bands"}
+    assert scenes.grid_of(spark, one, "B08", scenes.BAND_FILES) == Grid(4, 5, 1.0, 2.0, 1.0, -1.0, "EPSG:32635")
+    with pytest.raises(ValueError):
+        scenes.grid_of(spark, str(top), "B08", scenes.BAND_FILES)
+
+
+def test_rules_of_band_names():
+    names = ["xb04y.tif", "T_B04_(Raw).tiff", "z-b08.tif", "q_b08x_raw.tif", "B08.png"]
+    assert [scenes.picked(names, "B04", r) for r in scenes.RULES] == ["T_B04_(Raw).tiff"] * 4
+    assert [scenes.picked(names, "B08", r) for r in scenes.RULES] == ["z-b08.tif", "q_b08x_raw.tif", None, "q_b08x_raw.tif"]
+    assert [scenes.picked(["ab08c.tif", "a-b08.tif"], "B08", r) for r in scenes.RULES] == ["a-b08.tif", "ab08c.tif", None, "a-b08.tif"]
+    with pytest.raises(ValueError):
+        scenes.picked(names, "B08", "any")
+
+
+def test_headers_are_found_without_the_pixels():
+    r = geotiff.Raster(np.random.default_rng(2).integers(0, 9, (1, 400, 500)).astype("u2"), np.ones((400, 500), bool), 3.0, 4.0, 2.0, -2.0, "EPSG:32635")
+    data = geotiff.write(r, "none")  # the header is behind the pixels
+    for d in (data, geotiff.write(geotiff.Raster(r.bands[:, :9, :9], r.valid[:9, :9], 3.0, 4.0, 2.0, -2.0, "EPSG:32635"))):
+        assert geotiff.profile_of(io.BytesIO(d)).left == 3.0 and geotiff.profile_of(io.BytesIO(d)).bands.shape == geotiff.read(d).bands.shape
+
+
+def test_predictors_and_matrices():
+    import struct
+    import zlib
+
+    x = np.random.default_rng(3).random((6, 7)).astype("f4")
+    planes = x.astype(">f4").view(np.uint8).reshape(6, 7, 4).transpose(0, 2, 1).reshape(6, -1)
+    coded = np.diff(planes, axis=1, prepend=np.zeros((6, 1), np.uint8)).astype(np.uint8)
+
+    def file(predictor: int, matrix: tuple) -> bytes:
+        body = zlib.compress(coded.tobytes())
+        at = 8 + len(body) + len(body) % 2
+        tags = [(256, 4, 7), (257, 4, 6), (258, 3, 32), (259, 3, 8), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, 6), (279, 4, len(body)), (317, 3, predictor), (339, 3, 3)]
+        rows = [struct.pack("<HHII", t, k, 1, v) for t, k, v in tags] + [struct.pack("<HHII", 34264, 12, 16, at + 2 + 12 * 12 + 4)]
+        return b"II" + struct.pack("<HI", 42, at) + body.ljust(at - 8, b"\0") + struct.pack("<H", 12) + b"".join(rows) + bytes(4) + struct.pack("<16d", *matrix)
+
+    r = geotiff.read(file(3, (2.0, 0, 0, 30.0, 0, -2.0, 0, 60.0, *[0] * 8)))
+    assert (r.bands[0] == x).all() and (r.left, r.top, r.dx, r.dy) == (30.0, 60.0, 2.0, -2.0)
+    with pytest.raises(ValueError, match="predictor"):
+        geotiff.read(file(34892, (2.0, 0, 0, 30.0, 0, -2.0, 0, 60.0, *[0] * 8)))
+    with pytest.raises(ValueError, match="rotated"):
+        geotiff.read(file(3, (2.0, 0.5, 0, 30.0, 0, -2.0, 0, 60.0, *[0] * 8)))
+
+
+def test_nan_is_null_and_scales_nothing(spark, tmp_path):
+    for k in range(2):
+        d = tmp_path / f"n{k}"
+        d.mkdir()
+        bands = {f"{t}.tif": np.full((10, 10), 0.3 if t != "B08" else 0.7, "f4") for t in TAGS}
+        bands["B08.tif"][0, :3] = np.nan
+        archive(d / f"S_202{k}-01-01.zip", bands, GRID)
+    one = lambda k: pipelines.with_classes(scenes.pixels(spark, f"{tmp_path}/n{k}", pipelines.CHANGE_BANDS))
+    assert one(0).where("b08 is null").count() == 3 and one(0).where("isnan(b08)").count() == 0
+    out = pipelines.bitemporal_change(one(0), one(1), pipelines.ChangeSettings(patches=(2,))).collect()
+    assert sum(r.pre_keep_raw for r in out) == 97 and not any(r.loss for r in out)
+    from verdance.functions import spectral
+
+    raw = spark.createDataFrame([("s", float("nan") if i < 3 else 0.5) for i in range(100)], "scene string, b08 float")
+    assert {r.b08 for r in spectral.autoscaled(raw, ["b08"], ["scene"]).where("not isnan(b08)").collect()} == {0.5}
+
+
+def test_scenes_on_other_grids_are_aligned(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    whole = {t: rng.random((12, 14)).astype("f4") for t in TAGS}
+    pre, post = Grid(6, 8, 100.0, 200.0, 10.0, -10.0, "EPSG:32635"), Grid(12, 14, 82.0, 218.0, 10.0, -10.0, "EPSG:32635")
+    for name, g, cut in (("pre", pre, {t: a[2:8, 2:10] for t, a in whole.items()}), ("post", post, whole)):
+        (tmp_path / name).mkdir()
+        archive(tmp_path / name / f"{name}_2020-01-01.zip", {f"{t}.tif": a for t, a in cut.items()}, g)
+    out = tmp_path / "out"
+    from verdance.plans import cli
+
+    cli.main(["--pre", f"{tmp_path}/pre", "--post", f"{tmp_path}/post", "--outdir", str(out)])
+    rows = spark.read.parquet(f"{out}/change").collect()
+    assert len(rows) == 48 and not any(r.loss or r.gain for r in rows)  # the same land, however it is cut
+    with pytest.raises(ValueError):
+        cli.validated(spark, {"pre": "/path/to/scene.zip", "post": str(tmp_path)}, str(out))
+    with pytest.raises(FileNotFoundError):
+        cli.validated(spark, {"pre": f"{tmp_path}/none", "post": str(tmp_path)}, str(out))
+    from verdance.functions.masks import Cleanup
+
+    with pytest.raises(ValueError):
+        Cleanup(dilate=-1)
+
+
+def test_grids_of_other_systems_are_projected_or_refused(spark):
+    from verdance.operators import grid
+
+    px = spark.createDataFrame([(0, y, x, float(10 * y + x)) for y in range(6) for x in range(8)], "one int, y int, x int, v float")
+    utm = Grid(6, 8, 500_000.0, 5_000_000.0, 1000.0, -1000.0, "EPSG:32635")
+    corner = spark.range(1).select(*grid.reprojected(*utm.centre(grid.F.lit(2), grid.F.lit(3)), "EPSG:32635", "EPSG:4326")).first()
+    degrees = Grid(1, 1, corner[0] - 1e-4, corner[1] + 1e-4, 2e-4, -2e-4, "EPSG:4326")
+    assert [r.v for r in grid.nearest(px, utm, degrees, ["one"], ["v"]).collect()] == [23.0]
+    with pytest.raises(ValueError, match="cannot project"):
+        grid.nearest(px, utm, Grid(1, 1, 0.0, 0.0, 1.0, 1.0, "EPSG:3857"), ["one"], ["v"])
+
+
+#: Recorded recommendations, one scene for each combination of reasons. clear_support_px, then the
+#: fractions of clear, vegetation, snow, cloud, shadow and unclassified pixels, median NDVI and NDSI, recommendation, reasons.
+RECORDED = (
+    (125556, 0.6568, 0.6047, 0.0012, 0.0, 0.3419, 0.0458, 0.80338, -0.54963, "caution", "high_shadow_fraction"),
+    (36598, 0.1915, 0.0212, 0.064, 0.3972, 0.3473, 0.1524, 0.43141, 0.356178, "caution", "low_clear_support;low_vegetation_support;high_shadow_fraction;high_unclassified_fraction;positive_ndsi_clear_pixels"),
+    (191135, 0.9999, 0.9999, 0.0, 0.0, 0.0001, 0.0, 0.88484, -0.57390, "keep", "no_major_scene_quality_issue"),
+    (73979, 0.387, 0.3868, 0.0, 0.613, 0.0, 0.0001, 0.80639, -0.44475, "caution", "low_clear_support"),
+    (37384, 0.1956, 0.0, 0.523, 0.1546, 0.1268, 0.1824, 0.16735, 0.772851, "blacklist", "no_vegetation_and_snow_like_clear_pixels"),
+    (87484, 0.4577, 0.1602, 0.2221, 0.0173, 0.3029, 0.2129, 0.46532, 0.174747, "caution", "low_clear_support;low_vegetation_support;snow_present;high_shadow_fraction;high_unclassified_fraction;positive_ndsi_clear_pixels"),
+    (2721, 0.0142, 0.0142, 0.0, 0.9857, 0.0001, 0.0, 0.58597, -0.33694, "blacklist", "too_little_clear_support;cloud_dominated"),
+    (73068, 0.3822, 0.2581, 0.0745, 0.0753, 0.4679, 0.1092, 0.68855, -0.17209, "caution", "low_clear_support;high_shadow_fraction;high_unclassified_fraction"),
+    (149288, 0.781, 0.501, 0.1078, 0.0151, 0.0962, 0.2164, 0.60844, -0.48372, "caution", "snow_present;high_unclassified_fraction"),
+    (173991, 0.9102, 0.6794, 0.0412, 0.0031, 0.0455, 0.162, 0.60465, -0.50332, "caution", "high_unclassified_fraction"),
+    (88294, 0.4619, 0.4142, 0.0029, 0.0258, 0.5093, 0.0433, 0.72211, -0.53378, "caution", "low_clear_support;high_shadow_fraction"),
+    (108552, 0.5679, 0.0672, 0.1219, 0.0, 0.3103, 0.0, 0.46189, 0.315265, "caution", "low_clear_support;low_vegetation_support;snow_present;high_shadow_fraction;positive_ndsi_clear_pixels"),
+    (153889, 0.8051, 0.4551, 0.1417, 0.0, 0.0533, 0.0, 0.70732, -0.47181, "caution", "snow_present"),
+)
+
+
+def test_recorded_recommendations(spark):
+    from verdance.operators import scenes as quality
+
+    names = "clear_support_px long, clear_frac double, veg_frac double, snow_frac double, cloud_frac double, shadow_frac double, scl7_frac double, ndvi_med_clear double, ndsi_med_clear double, want string, why string"
+    rows = quality.with_recommendation(spark.createDataFrame(RECORDED, names)).collect()
+    assert [(r.recommendation, r.recommendation_reason) for r in rows] == [(r.want, r.why) for r in rows]

@@ -64,3 +64,8 @@ def counts(masks: dict[str, Column]) -> list[Column]:
 
 def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(F.lit(100.0) * part, whole)
+
+
+def enough(px: DataFrame, valid: str, least: int, by: list[str]) -> DataFrame:
+    """by, n_valid, enough: whether as many pixels are valid as a comparison needs."""
+    return px.groupBy(*by).agg(F.count_if(valid).alias("n_valid")).withColumn("enough", F.col("n_valid") >= least)

@@ -48,13 +48,23 @@ def lookup(env: DataFrame, wanted: DataFrame, circular: bool = False) -> DataFra
     return best.select("group_code", "index", "requested_bin", "used_bin", "fallback_used", "env_q_low", "env_q_high", "n_dates", "support_pixels_total")
 
 
+def missing(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What is wanted and has no envelope at all."""
+    keys = ["group_code", "index", "requested_bin"]
+    return wanted.select(*keys).distinct().join(found, keys, "left_anti")
+
+
 def require_found(found: DataFrame, wanted: DataFrame) -> None:
     """Fail if some group and index has no envelope at all."""
-    keys = ["group_code", "index", "requested_bin"]
-    if (row := wanted.select(*keys).distinct().join(found, keys, "left_anti").first()) is not None:
+    if (row := missing(found, wanted).first()) is not None:
         raise KeyError(f"no envelope for {row.asDict()}")
 
 
+def traced(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Each request with the season that was used for it and its bounds."""
+    return wanted.join(found, ["group_code", "index", "requested_bin"])
+
+
 def bounds(found: DataFrame, names: tuple[str, ...] = CORE + OPTIONAL) -> DataFrame:
     """group_code, requested_bin and for each index its low and high, side by side."""
     cells = [F.max(F.when(F.col("index") == n, F.col(c))).alias(f"{n.lower()}_{s}") for n in names for c, s in (("env_q_low", "low"), ("env_q_high", "high"))]

@@ -32,10 +32,15 @@ class Grid:
         return (north - F.lit(self.top)) / F.lit(self.dy), (east - F.lit(self.left)) / F.lit(self.dx)
 
 
+def mismatched(grids: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: those whose bands lie on n different grids."""
+    place = F.struct(*[c for c in ("height", "width", "left", "top", "dx", "dy", "crs") if c in grids.columns])
+    return grids.groupBy(*keys).agg(F.count_distinct(place).alias("n")).where("n > 1")
+
+
 def require_same(grids: DataFrame, keys: list[str]) -> None:
     """Fail if a scene's bands lie on different grids."""
-    bad = grids.groupBy(*keys).agg(F.count_distinct(F.struct(*[c for c in ("height", "width", "left", "top", "dx", "dy", "crs") if c in grids.columns])).alias("n")).where("n > 1")
-    if (row := bad.first()) is not None:
+    if (row := mismatched(grids, keys).first()) is not None:
         raise ValueError(f"bands are not on one grid: {row.asDict()}")
 
 

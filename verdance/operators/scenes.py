@@ -69,6 +69,11 @@ def with_recommendation(q: DataFrame, t: Limits = Limits()) -> DataFrame:
     return q.withColumns(recommendation(t))
 
 
+def stacked(long: DataFrame, keys: list[str], bands: tuple[str, ...], band: str = "band", value: str = "value") -> DataFrame:
+    """A row for each pixel with its bands side by side, from a row for each band; pixels that lack a band have NULL there."""
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col(band) == b, F.col(value))).alias(b) for b in bands])
+
+
 MODES = {"none": (), "blacklist": ("blacklist",), "blacklist_and_caution": ("blacklist", "caution")}
 
 

@@ -117,3 +117,8 @@ def grouped_stands(stands: DataFrame, attributes: DataFrame, order: str, fallbac
         out = out.withColumns({"group_code": F.when(none, fallback.code).otherwise(F.col("group_code")), "group_label": F.when(none, fallback.label).otherwise(F.col("group_label"))})
     out = out.drop("c1", "l1", "c2", "l2")
     return out.where(~F.col("group_code").isin(*exclude)) if exclude else out
+
+
+def with_shape(layer: DataFrame) -> DataFrame:
+    """Stands that have sides."""
+    return layer.where(F.size("edges") > 0)

@@ -107,9 +107,9 @@ def deforestation(px: DataFrame, detect: masks.Detection | None = None, clean: m
             wide = neighbourhood.dilated(px.select(F.lit(0).alias("one"), "y", "x", F.col(f"{d}cleanup").alias("value")), clean.dilate, ["one"])
             px = px.drop(f"{d}cleanup").join(wide.select("y", "x", F.col("value").alias(f"{d}cleanup")), ["y", "x"])
     px = cut(px)
-    n = px.where("valid_both").limit(least_valid).count()
-    if n < least_valid:
-        raise RuntimeError(f"only {n} pixels are valid on both dates")
+    found = change.enough(px, "valid_both", least_valid, []).first()
+    if not found.enough:
+        raise RuntimeError(f"only {found.n_valid} pixels are valid on both dates")
     dirty = {"pre_vegetated": F.col("pre_cleanup"), "post_nonveg_nbr": F.col("post_cleanup"), "post_nonveg": F.col("post_cleanup"), "deforested": F.col("pre_cleanup") | F.col("post_cleanup")}
     domain = {"pre_vegetated": "valid_pre", "post_nonveg_nbr": "valid_post", "post_nonveg": "valid_post", "deforested": "valid_both"}
     stacked = {f"{name}_{suffix}": (value, detect.min_patch) for name, bad in dirty.items() for suffix, value in (("before_cleanup", F.col(name)), ("clean", F.col(name) & ~bad))}
@@ -173,7 +173,7 @@ def apply_envelopes(px: DataFrame, zones: DataFrame, env: DataFrame, settings: E
     wanted = present.select("*", F.explode(F.array(*map(F.lit, names))).alias("index"))
     found = envelope.lookup(env, wanted, s.circular)
     envelope.require_found(found, wanted)
-    traces = wanted.join(found, ["group_code", "index", "requested_bin"])
+    traces = envelope.traced(wanted, found)
     px = envelope.voted(seen, envelope.bounds(found), s.votes)
     keys = ["scene", "date", "doy", "doy_bin_label"]
     return {
@@ -192,4 +192,4 @@ def stable_zones(layer: DataFrame, attributes: DataFrame, columns: dict[str, str
     stands.require_columns(attributes, ["ua", *columns.values(), *years], "the attribute table")
     joined = stands.with_attributes(layer, attributes, "ua", [order])
     out = stands.losses(joined, columns["total"], years, columns["area_ha"]).where(stands.is_stable(limits or stands.Stability()))
-    return stands.in_groups(out, columns["code"]).where(F.size("edges") > 0)
+    return stands.with_shape(stands.in_groups(out, columns["code"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -189,6 +190,29 @@ def scl_decode_palette(spark: SparkSession, d: str) -> DataFrame:
     return px.join(deep, "scene").select("y", "x", masks.scl_of_colour(F.col("r"), F.col("g"), F.col("b"), F.col("deep"), tolerance=1).alias("scl"))
 
 
+@query(f"SELECT y, x, scene, CASE WHEN y % 25 % 3 < 2 THEN scl END AS scl FROM ({views.grid_sql(())})")
+def scene_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Of three scenes one has classes, one a rendering of them and one neither."""
+    from .pipelines import with_classes
+
+    kind = F.col("y") % 25 % 3
+    colour = lambda i: F.when(kind == 1, F.element_at(F.create_map(*[F.lit(v) for k, c in masks.SCL_COLOURS.items() for v in (k, c[i])]), F.col("scl")))
+    px = views.grid(spark, d, ()).select("y", "x", "scene", *[colour(i).alias(f"scl_{c}") for i, c in enumerate("rgb")], F.when(kind == 0, F.col("scl")).alias("scl"))
+    return with_classes(px)
+
+
+@query(f"SELECT scene, count(*) FILTER (b08 > 0.5::float) AS n_valid, count(*) FILTER (b08 > 0.5::float) >= 100 AS enough FROM ({views.grid_sql(('b08',))}) GROUP BY scene")
+def enough_valid(spark: SparkSession, d: str) -> DataFrame:
+    return change.enough(views.grid(spark, d, ("b08",)).withColumn("valid", F.col("b08") > f32(0.5)), "valid", 100, ["scene"])
+
+
+@query(f"SELECT scene, y, x, b04, CASE WHEN (y + x) % 3 <> 0 THEN b08 END AS b08, b12 FROM ({views.grid_sql(('b04', 'b08', 'b12'))})")
+def stacked_bands(spark: SparkSession, d: str) -> DataFrame:
+    bands = ("b04", "b08", "b12")
+    long = views.grid(spark, d, bands).select("scene", "y", "x", F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("value")) for b in bands])))
+    return scenes.stacked(long.where("band <> 'b08' or (y + x) % 3 <> 0"), ["scene", "y", "x"], bands)
+
+
 @query(f"SELECT y, x, {_CLEAR('scl')} AS clear, scl IN (0, 1, 3, 8, 9, 10, 11) AS invalid_core, scl IN (3, 8, 9, 10, 11) AS cloud_core, scl IN (3, 8, 9, 10) AS cleanup FROM ({views.grid_sql(())})")
 def scl_clear_si(spark: SparkSession, d: str) -> DataFrame:
     scl = F.col("scl")
@@ -563,6 +587,21 @@ def envelope_lookup_exact(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_looked_up(spark, d).where("not fallback_used"))
 
 
+@query(f"""SELECT s.group_code, s."index", s.date, s.doy_bin_label AS requested_bin, l.used_bin, l.fallback_used, round(l.env_q_low, 6) AS env_q_low, round(l.env_q_high, 6) AS env_q_high, l.n_dates, l.support_pixels_total
+FROM ({_SEASON}) s JOIN ({_LOOKUP}) l ON l.group_code = s.group_code AND l."index" = s."index" AND l.requested_bin = s.doy_bin_label""")
+def lookup_traces(spark: SparkSession, d: str) -> DataFrame:
+    wanted = zonal.with_season(_zones(spark, d)).select("group_code", "index", "date", F.col("doy_bin_label").alias("requested_bin"))
+    found = envelope.lookup(envelope.with_all_forest(_partial(spark, d)), wanted)
+    return _rounded(envelope.traced(wanted, found))
+
+
+@query(f"""SELECT DISTINCT 'X9' AS group_code, "index", doy_bin_label AS requested_bin FROM ({_SEASON}) WHERE group_code IN ('G1', 'G2')""")
+def envelope_missing(spark: SparkSession, d: str) -> DataFrame:
+    code = F.when(F.col("group_code").isin("G1", "G2"), "X9").otherwise(F.col("group_code"))
+    wanted = zonal.with_season(_zones(spark, d)).select(code.alias("group_code"), "index", F.col("doy_bin_label").alias("requested_bin"))
+    return envelope.missing(envelope.lookup(envelope.with_all_forest(_partial(spark, d)), wanted), wanted)
+
+
 # votes: envelopes of the raster view's own scenes, applied to its pixels
 _IDX = ("NDVI", "NDMI", "NBR", "NDRE")
 _LONG = "WITH p AS (SELECT *, 'L' || label AS group_code FROM (" + views.grid_sql() + ")) " + " UNION ALL ".join(f"""SELECT group_code, '{n}' AS "index", date, {nd(*spectral.INDEX_BANDS[n])} AS v FROM p""" for n in _IDX)
@@ -600,16 +639,25 @@ def scene_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # --- grids ---------------------------------------------------------------------------------------
 
-_SOURCE = grid.Grid(2000, 64, 0.0, 0.0, 1.0, 1.0)
-_FINE = grid.Grid(120, 100, 3.25, 2.75, 0.5, 0.5)
+def _source(spark: SparkSession, d: str) -> grid.Grid:
+    """The whole view's grid."""
+    return grid.Grid(views.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1, 64, 0.0, 0.0, 1.0, 1.0)
+
+
+def _fine(source: grid.Grid) -> grid.Grid:
+    """Twice as fine, and not quite as large."""
+    return grid.Grid(2 * source.height - 10, 126, 3.25, 2.75, 0.5, 0.5)
+
+
 _E = lambda c, o: f"(({o}::double + ({c} + 0.5::double) * 0.5::double))"
-_TARGET = "SELECT y::int AS y, x::int AS x FROM (SELECT unnest(range(120)) AS y), (SELECT unnest(range(100)) AS x)"
+_TARGET = "SELECT y::int AS y, x::int AS x FROM (SELECT unnest(range(2 * (SELECT max(vec_id) + 1 FROM embeddings)::bigint - 10)) AS y), (SELECT unnest(range(126)) AS x)"
 
 
 @query(f"WITH s AS ({views.grid_sql(('b04', 'b08'))}), t AS (SELECT y, x, floor({_E('y', 2.75)})::int AS sy, floor({_E('x', 3.25)})::int AS sx FROM ({_TARGET})) SELECT t.y, t.x, coalesce(b04, 0::float) AS b04, coalesce(b08, 0::float) AS b08 FROM t LEFT JOIN s ON s.y = sy AND s.x = sx")
 def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
     px = views.grid(spark, d, ("b04", "b08")).select(F.lit(0).alias("one"), "y", "x", "b04", "b08")
-    return grid.nearest(px, _SOURCE, _FINE, ["one"], ["b04", "b08"]).select("y", "x", "b04", "b08")
+    source = _source(spark, d)
+    return grid.nearest(px, source, _fine(source), ["one"], ["b04", "b08"]).select("y", "x", "b04", "b08")
 
 
 @query(f"""WITH s AS (SELECT y, x, CASE WHEN (y + x) % 5 <> 0 THEN b08 END AS b08 FROM ({views.grid_sql(('b08',))})), t AS (SELECT y, x, {_E('y', 2.75)} - 0.5::double AS fr, {_E('x', 3.25)} - 0.5::double AS fc FROM ({_TARGET})),
@@ -617,7 +665,8 @@ f AS (SELECT y, x, floor(fr)::int + i AS sy, floor(fc)::int + j AS sx, (CASE WHE
 SELECT f.y, f.x, (sum(b08::double * w) / nullif(sum(CASE WHEN b08 IS NOT NULL THEN w END), 0))::float AS b08 FROM f LEFT JOIN s ON s.y = sy AND s.x = sx WHERE w > 0 GROUP BY f.y, f.x""")
 def resample_bilinear(spark: SparkSession, d: str) -> DataFrame:
     px = views.grid(spark, d, ("b08",)).select(F.lit(0).alias("one"), "y", "x", F.when((F.col("y") + F.col("x")) % 5 != 0, F.col("b08")).alias("b08"))
-    return grid.bilinear(px, _SOURCE, _FINE, ["one"], ["b08"]).select("y", "x", "b08")
+    source = _source(spark, d)
+    return grid.bilinear(px, source, _fine(source), ["one"], ["b08"]).select("y", "x", "b08")
 
 
 _CORNERS = ((0.0, 0.0), (22.3, 7.9), (5.1, 31.7))
@@ -636,7 +685,60 @@ p AS (SELECT vec_id::int AS y, x::int AS x, vec_id + 0.5::double AS py, x + 0.5:
 SELECT y, x, arg_max(group_id, feature)::int AS group_id FROM p, g WHERE len(list_filter(edges, lambda e: (e.y1 > py) <> (e.y2 > py) AND px < (e.x2 - e.x1) * (py - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1)) % 2 = 1 GROUP BY y, x""")
 def polygon_to_pixel(spark: SparkSession, d: str) -> DataFrame:
     px = views.table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
-    return grid.polygons_to_pixels(_polygons(spark, d), _SOURCE, px)
+    return grid.polygons_to_pixels(_polygons(spark, d), _source(spark, d), px)
+
+
+_SHIFTED = "SELECT vec_id::int AS y, x::int AS x, vec_id::int + 2 AS sy, x::int + 3 AS sx FROM (SELECT vec_id, unnest(range(64)) AS x FROM embeddings)"
+
+
+@query(f"WITH s AS (SELECT *, (y + x) % 4 <> 0 AS valid FROM ({views.grid_sql(('b04',))})), t AS ({_SHIFTED}) SELECT t.y, t.x, coalesce(b04, 0::float) AS b04, coalesce(valid, false) AS valid, scl FROM t LEFT JOIN s ON s.y = sy AND s.x = sx")
+def aligned_to_reference(spark: SparkSession, d: str) -> DataFrame:
+    source = _source(spark, d)
+    reference = replace(source, left=3.25, top=1.75)
+    px = views.grid(spark, d, ("b04",)).select(F.lit(0).alias("one"), "y", "x", "b04", ((F.col("y") + F.col("x")) % 4 != 0).alias("valid"), "scl")
+    out = grid.aligned(px, source, reference, ["one"], ["b04", "valid"], ["scl"])
+    return grid.aligned(out, reference, reference, ["one"], ["b04", "valid"], ["scl"]).select("y", "x", "b04", "valid", "scl")  # the second time there is nothing to do
+
+
+@query("""SELECT p_partkey // 4 AS scene, count(DISTINCT (p_partkey % 4 = 3 AND p_partkey % 7 = 0, p_partkey % 4 = 1 AND p_partkey % 11 = 0)) AS n FROM part GROUP BY 1 HAVING n > 1""")
+def grid_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    height = F.when((k % 4 == 3) & (k % 7 == 0), 20).otherwise(10)
+    crs = F.when((k % 4 == 1) & (k % 11 == 0), "EPSG:4326").otherwise("EPSG:32635")
+    grids = views.table(spark, d, "part").select(F.floor(k / 4).cast("long").alias("scene"), (k % 4).alias("band"), height.alias("height"), F.lit(64).alias("width"), F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(1.0).alias("dx"), F.lit(-1.0).alias("dy"), crs.alias("crs"))
+    return grid.mismatched(grids, ["scene"])
+
+
+def _utm_sql() -> str:
+    """Easting and northing of lon, lat in zone 35, by the series in plain numbers."""
+    import math
+
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    num = lambda v: f"{v!r}::double"
+    east = " + ".join(["eta", *[f"{num(c)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(alpha, 1)]])
+    north = " + ".join(["xi", *[f"{num(c)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(alpha, 1)]])
+    return f"""SELECT c_custkey, lon, lat, 500000 + {num(a)} * ({east}) AS east, {num(a)} * ({north}) AS north FROM (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM (
+SELECT *, radians(lon - 27) AS lam, sinh(atanh(sin(radians(lat))) - {num(e)} * atanh({num(e)} * sin(radians(lat)))) AS t FROM (SELECT c_custkey, 24 + (c_custkey % 601) / 100.0::double AS lon, 43 + (c_custkey % 499) / 100.0::double AS lat FROM customer)))"""
+
+
+@query(f"SELECT c_custkey, round(east, 3) AS east, round(north, 3) AS north, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ({_utm_sql()})")
+def points_to_utm(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    at = views.table(spark, d, "customer").select("c_custkey", (24 + (k % 601) / F.lit(100.0)).alias("lon"), (43 + (k % 499) / F.lit(100.0)).alias("lat"))
+    east, north = grid.reprojected(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:32635")
+    at = at.select("c_custkey", east.alias("east"), north.alias("north"))
+    lon, lat = grid.reprojected(F.col("east"), F.col("north"), "EPSG:32635", "EPSG:4326")  # and back again
+    return at.select("c_custkey", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("SELECT (n_nationkey + 1)::int AS group_id, n_nationkey AS feature, 3::int AS sides FROM nation WHERE n_nationkey % 3 <> 0")
+def stands_with_shape(spark: SparkSession, d: str) -> DataFrame:
+    bare = _polygons(spark, d).withColumn("edges", F.when(F.col("feature") % 3 != 0, F.col("edges")).otherwise(F.slice("edges", 1, 0)))
+    return stands.with_shape(bare).select("group_id", "feature", F.size("edges").alias("sides"))
 
 
 # --- names and dates ----------------------------------------------------------------------------------
