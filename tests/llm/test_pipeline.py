@@ -48,6 +48,61 @@ def test_run(spark, sf_dir):
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
 
 
+def _plain(rows: list, items: list) -> dict[str, list]:
+    """What stays after each stage, by plain comparison."""
+    import numpy as np
+
+    from tests.llm.test_scoring import plain_mcd
+
+    s, out = quality.Settings(), {}
+    stats = [brute.base_statistics(r.text) for r in rows]
+    lines = [sum(brute.WORD.search(x) is not None for x in (r.text or "").split("\n")) for r in rows]
+    x = np.array([[np.log(1 + c / max(n, 1)), np.log1p(100 * sy / max(c, 1)), np.log1p(20 * du / max(li, 1)), np.log1p(20 * re_ / max(n, 1)), np.log1p(n)] for (n, c, sy, du, re_, _), li in zip(stats, lines)])
+    good = []
+    for source in sorted({r.source for r in rows if r.source}):
+        mine = [i for i, r in enumerate(rows) if r.source == source and not stats[i][-1]]
+        assert len(mine) >= s.least
+        good += [i for i, d in zip(mine, plain_mcd(x[mine], s)) if d <= s.cutoff]
+    kept = out["quality_rules"] = [rows[i] for i in sorted(good)]
+    prints = [brute.simhash(r.text) for r in kept]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (brute.words(r.text.lower()) for r in kept)]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    first = {}
+    for r, c in zip(kept, brute.classes(list(range(len(kept))), near)):
+        first[c] = min(first.get(c, r), r, key=lambda r: r.doc_id)
+    kept = out["simhash_near_dedup"] = list(first.values())
+    words = (set(decontam.NUMBER_WORDS), set(decontam.UNITS))
+    kept = out["benchmark_decontamination"] = [r for r in kept if not any(brute.contamination(r.text, t, *words) for t in items)]
+    masked = []
+    for r in kept:
+        hidden = set()
+        for pattern, good_ in brute.SECRETS.values():
+            hidden |= {i for m in pattern.finditer(r.text) if good_(m) for i in range(m.start(), m.end())}
+        masked.append((r.doc_id, "".join("\0" if i in hidden and i - 1 not in hidden else "" if i in hidden else c for i, c in enumerate(r.text)).replace("\0", "[SECRET]")))
+    out["secret_scans"] = masked
+    out["best_fit_packing"] = [(d, k // 2048, k, len(e[k:k + 2048]), brute.crc(e[k:k + 2048])) for (d, _), e in zip(masked, brute.encoded([t for _, t in masked], "word_bpe_49k.json")) for k in range(0, len(e), 2048)]
+    return out
+
+
+def test_the_whole_pipeline_equals_a_plain_one(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = _plain(docs.collect(), items)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name == "best_fit_packing":
+            got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in docs.collect()]
+            places = sorted((r.sequence_id, r.offset, r.length) for r in docs.collect())
+            assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:]))
+            assert sorted(got) == sorted(want[name])
+        else:
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            rows = [tuple(r)[:2] for r in docs.collect()]
+            assert sorted(rows) == sorted(tuple(r)[:2] for r in want[name]), name
+    run = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf_dir).collect()]
+    assert sorted(run) == sorted(want["best_fit_packing"])
+
+
 def test_empty_corpus(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -53,9 +54,33 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_scopes: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    return "/".join([shared_root(spark), "verdance", spark.sparkContext.applicationId, *_scopes])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/verdance/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that are made within go at its end; what is to stay is written to a path made outside."""
+    _scopes.append(uuid.uuid4().hex[:12])
+    try:
+        yield
+    finally:
+        mine = _folder(spark)
+        _scopes.pop()
+        delete(spark, mine)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -67,9 +92,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def sweep(spark: SparkSession) -> None:
     """Delete the application's scratch tables, once nothing that reads them is used any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/verdance/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_root(spark)}/verdance/{spark.sparkContext.applicationId}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
