@@ -23,10 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates (SimHash, or five-word Jaccard of 0.8) the row with the smallest doc_id (null last), then text_key; of exact repeats one."""
-    found = similar.representatives(docs).select(*[F.col(c).alias(f"its_{c}") for c in ("doc_id", "text_key")])
-    rows = docs.select(base.whole_row(docs), "doc_id", base.text_key().alias("text_key"))
-    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & (F.col("text_key") == F.col("its_text_key")), "left_semi")
-    return kept.groupBy("doc_id", "text_key").agg(F.first("__row").alias("__row")).select(*[c for _, c in base.columns_of(docs)])
+    # the join and the grouping share their keys, so that rows are moved once
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key"]
+    found = similar.representatives(docs).select(*key)
+    rows = docs.select(base.whole_row(docs), "doc_id", base.text_key().alias("text_key")).select("__row", *key)
+    kept = rows.join(found, ["id", "no_id", "text_key"], "left_semi")
+    return kept.groupBy("id", "no_id", "text_key").agg(F.first("__row").alias("__row")).select(*[c for _, c in base.columns_of(docs)])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in a row over ``documents``."""
-    docs = base.table(spark, sf_dir, "documents")
+    docs, before = base.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = base.stored(stage(spark, docs, sf_dir), name)
+        path = base.scratch(spark, name)
+        with base.scope(spark):  # the stage's own tables go once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            base.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
