@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -98,3 +99,19 @@ def test_stable_stands(spark):
 def test_bin_arithmetic(doy, width):
     start = (doy - 1) // width * width + 1
     assert start <= doy <= start + width - 1
+
+
+def test_quantiles_are_those_of_sorted_values(spark):
+    import numpy as np
+
+    from verdance.functions.quantile import quantiles
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(0, 1, 500), "b": rng.normal(0, 4000, 301), "c": np.array([2.5]), "d": np.repeat([-1.0, 0.0, 1e-9, 7.0], 25), None: rng.random(8), "e": np.array([])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    shares = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q9": 0.9, "q999": 0.999, "q10": 1.0}
+    df = spark.createDataFrame(rows, "g string, value double").repartition(4)
+    got = {r.g: r for r in quantiles(df, ["g"], shares).collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for g, r in got.items():
+        assert [r[k] for k in shares] == pytest.approx([np.quantile(groups[g], p) for p in shares.values()], rel=1e-12, abs=1e-15)

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantile import quantiles
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -102,9 +104,12 @@ def within(value: Column, low: float, high: float) -> Column:
 def autoscaled(px: DataFrame, bands: list[str], by: list[str], share: float = 0.999, limit: float = 1.5, scale: float = 10_000.0) -> DataFrame:
     """Divide a scene's band by the scale if its 99.9th percentile shows digital numbers.
 
-    The decision is made for each scene and band by itself, from values that are not NaN.  The percentile is exact
-    and comes from counts of distinct values, which combine before the shuffle.
+    The decision is made for each scene and band by itself, from values that are not
+    NaN; the percentile is exact.
     """
-    tops = px.groupBy(*by).agg(*[F.percentile(F.when(~F.isnan(b), F.col(b)).cast("double"), F.lit(share)).alias(f"top_{b}") for b in bands])
+    long = px.select(*by, F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.when(~F.isnan(b), F.col(b)).cast("double").alias("value")) for b in bands])))
+    tops = quantiles(long, [*by, "band"], {"top": share})
+    wide = tops.groupBy(*by).agg(*[F.max(F.when(F.col("band") == b, F.col("top"))).alias(f"top_{b}") for b in bands])
+    wide = px.select(*by).distinct().join(wide, by, "left")
     scaled = {b: F.when(F.col(f"top_{b}") > limit, single(F.col(b) / f32(scale))).otherwise(F.col(b)) for b in bands}
-    return px.join(tops, by).withColumns(scaled).drop(*[f"top_{b}" for b in bands])
+    return px.join(wide, by).withColumns(scaled).drop(*[f"top_{b}" for b in bands])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantile import quantiles
 from ..functions.spectral import INDEX_BANDS, index
 
 
@@ -16,13 +17,15 @@ def quality(px: DataFrame, keys: list[str] = ["scene", "date"]) -> DataFrame:  #
     px: keys, scl, clear and the bands, support pixels only.
     """
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
-    medians = [F.median(F.when(F.col("clear"), index(n)).cast("double")).alias(f"{n.lower()}_med_clear") for n in ("NDVI", "NDRE", "NDMI", "NBR", "NDSI")]
+    names = ("NDVI", "NDRE", "NDMI", "NBR", "NDSI")
+    long = px.where("clear").select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("index"), index(n).cast("double").alias("value")) for n in names])))
+    medians = quantiles(long, [*keys, "index"], {"median": 0.5}).groupBy(*keys).agg(*[F.max(F.when(F.col("index") == n, F.col("median"))).alias(f"{n.lower()}_med_clear") for n in names])
     out = px.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("support_px"), F.count_if("clear").alias("clear_support_px"), share(F.col("clear")).alias("clear_frac"),
         share(F.col("scl") == 4).alias("veg_frac"), share(F.col("scl") == 11).alias("snow_frac"), share(F.col("scl").isin(8, 9, 10)).alias("cloud_frac"),
-        share(F.col("scl").isin(2, 3)).alias("shadow_frac"), share(F.col("scl") == 7).alias("scl7_frac"), *medians,
+        share(F.col("scl").isin(2, 3)).alias("shadow_frac"), share(F.col("scl") == 7).alias("scl7_frac"),
     )
-    return out.withColumn("doy", F.dayofyear("date"))
+    return out.join(medians, keys, "left").withColumn("doy", F.dayofyear("date"))
 
 
 assert set(INDEX_BANDS) >= {"NDVI", "NDRE", "NDMI", "NBR", "NDSI"}

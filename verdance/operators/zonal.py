@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantile import quantiles
 from ..functions.text import bin_centre, bin_label
 
 ZONE = ["group_code", "group_label", "index"]
@@ -20,10 +21,9 @@ def statistics(px: DataFrame, keys: list[str], least: int = 50) -> DataFrame:
     px: keys and value, NULL where missing.  Zones need ``least`` pixels.
     """
     v = F.col("value").cast("double")
-    return px.where(F.col("value").isNotNull()).groupBy(*keys).agg(
-        F.count("value").alias("n_valid_pixels"), F.min(v).alias("date_min"), _q("value", 0.10, "date_q10"), _q("value", 0.50, "date_median"),
-        _q("value", 0.90, "date_q90"), F.max(v).alias("date_max"), F.avg(v).alias("date_mean"),
-    ).where(F.col("n_valid_pixels") >= least)
+    there = px.where(F.col("value").isNotNull())
+    out = there.groupBy(*keys).agg(F.count("value").alias("n_valid_pixels"), F.min(v).alias("date_min"), F.max(v).alias("date_max"), F.avg(v).alias("date_mean")).where(F.col("n_valid_pixels") >= least)
+    return out.join(quantiles(there, keys, {"date_q10": 0.10, "date_median": 0.50, "date_q90": 0.90}), keys).select(*keys, "n_valid_pixels", "date_min", "date_q10", "date_median", "date_q90", "date_max", "date_mean")
 
 
 def with_season(df: DataFrame, width: int = 30, date: str = "date") -> DataFrame:
