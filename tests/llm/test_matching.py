@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from verdance.llm import decontam, secret_scan, simhash
+from verdance.llm import decontam, secret_scan, simhash, similar
 
 
 def test_fingerprints_and_classes(docs, rows):
@@ -49,6 +49,35 @@ def test_trie_walk(values):
     assert len({*zip(got.tolist(), want)}) == len(set(want)) == len(set(got.tolist()))
 
 
+@pytest.mark.parametrize("hot", [similar.HOT, 4])
+def test_cut_buckets_lose_no_link(spark, hot, monkeypatch):
+    """Chains of drifting copies, copies of one text and texts that are nearly but not similar, in shared buckets."""
+    rng = np.random.default_rng(5)
+    texts, own = [], [f"w{i}" for i in range(120)]
+    for step in (1, 1, 2, 3, 4, 5):
+        w = list(own)
+        for _ in range(14):
+            w = list(w)
+            for i in rng.integers(0, len(w), step):
+                w[i] = f"n{rng.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    for _ in range(25):
+        w = list(own)
+        w[int(rng.integers(0, 120))] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (brute.words(t) for t in texts)]
+    prints = [brute.simhash(t) for t in texts]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    of = brute.classes(list(range(len(texts))), near)
+    cut = []
+    against = similar._against_rest
+    monkeypatch.setattr(similar, "_against_rest", lambda *a: cut.append(1) or against(*a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in similar.representatives(docs, hot).collect())
+    assert got == sorted({of.index(c) for c in of})
+    assert 1 < len(got) < len(texts) and bool(cut) == (hot == 4)
+
+
 def test_no_classes(empty):
     assert simhash.components(empty).count() == 0
 
