@@ -146,7 +146,7 @@ def test_merged_stretches(docs):
     assert [list(map(int, x)) for x in zip(doc, lo, hi)] == expect
 
 
-@pytest.mark.parametrize("module,column", [(suffix_index, "n_bytes")])
+@pytest.mark.parametrize("module,column", [(suffix_index, "n_bytes"), (suffix_tree, "n_words")])
 def test_contexts_without_a_repeat(spark, module, column):
     """op1, op4: the first error at 6 GB, a bundle of contexts of which none is repeated."""
     common = " ".join(f"common{i}x" for i in range(34))
