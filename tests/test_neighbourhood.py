@@ -112,3 +112,23 @@ def test_utm_of_known_points(spark):
     r = spark.createDataFrame([(27.0, 0.0), (27.0, 45.0)], "lon double, lat double").select(e.alias("e"), n.alias("n")).collect()
     assert abs(r[0].e - 500_000) < 1e-3 and abs(r[0].n) < 1e-3
     assert abs(r[1].n - 4_982_950.400) < 0.01
+
+
+def test_bilinear_makes_cells_after_the_join(spark):
+    """resample_bilinear, 1 GB: four rows for each target cell were made in one task, joined and grouped."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(s, y, x, rng.choice([None, rng.random(), float(y)]), rng.random()) for s in ("a", "b") for y in range(9) for x in range(40) if rng.random() > 0.1]
+    rows += [("a", 3, 4, 7.0, None), ("c", 0, 0, 1.0, float("inf"))]
+    px = spark.createDataFrame(rows, "scene string, y int, x int, v float, u float")
+    source = grid.Grid(9, 40, 100.0, 50.0, 2.0, -1.0)
+    for target in (grid.Grid(21, 95, 96.3, 51.2, 0.9, -0.45), grid.Grid(9, 40, 100.0, 50.0, 2.0, -1.0), grid.Grid(4, 9, 101.0, 49.5, 8.0, -2.0)):
+        out = grid.bilinear(px, source, target, ["scene"], ["v", "u"])
+        plain = grid._bilinear_by_points(px, source, target, ["scene"], ["v", "u"])
+        got, expect = ({(r.scene, r.y, r.x): (r.v, r.u) for r in f.collect()} for f in (out, plain))
+        assert got.keys() == expect.keys() and len(got) == 3 * target.height * target.width
+        for k, e in expect.items():
+            assert got[k] == pytest.approx(e, rel=1e-6, nan_ok=True) if None not in e else [x is None for x in got[k]] == [x is None for x in e]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Join LeftOuter") > plan.rindex("inline(xs")

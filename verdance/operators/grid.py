@@ -46,7 +46,13 @@ def require_same(grids: DataFrame, keys: list[str]) -> None:
 
 def cells(scenes: DataFrame, grid: Grid) -> DataFrame:
     """All cells of the grid for each scene."""
-    return scenes.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid.height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x"))
+    return lines(scenes, grid).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x"))
+
+
+def lines(scenes: DataFrame, grid: Grid) -> DataFrame:
+    """All rows of the grid for each scene, dealt to as many tasks as a shuffle has."""
+    n = int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scenes.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid.height - 1))).alias("y")).repartition(n, "y")
 
 
 def _geographic(crs: str) -> bool:
@@ -99,11 +105,49 @@ def nearest(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: lis
     return out.select(*by, "y", "x", *[F.when(F.col("there").isNull(), F.lit(fill).cast(kinds[b])).otherwise(F.col(b)).alias(b) for b in bands], *rest)
 
 
+#: Columns of a stretch of two source rows that target cells read together.
+STRETCH = 16
+
+
 def bilinear(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: list[str]) -> DataFrame:
     """Weighted means of the four source cells around target cells' middles.
 
     Missing neighbours leave the others' weights to count for all; NULL if there are none.
+    Unless the reference systems differ, a target row lies between two source rows: stretches
+    of those meet the target's rows, and its cells are made after that join.
     """
+    if source.crs and target.crs and source.crs != target.crs:
+        return _bilinear_by_points(px, source, target, by, bands)
+    scenes = px.select(*by).distinct()
+    r, c = _sought(source, target)
+    low = lambda f: F.floor(f - F.lit(0.5)).cast("int")
+    share = lambda f: f - F.lit(0.5) - low(f)
+    across = px.sparkSession.range(target.width).select(F.col("id").cast("int").alias("x")).select("x", low(c).alias("x0"), share(c).alias("wx"))
+    across = across.withColumn("part", F.floor(F.col("x0") / STRETCH).cast("int"))
+    of_part = across.groupBy("part").agg(F.collect_list(F.struct("x", "x0", "wx")).alias("xs"))
+    want = lines(scenes, target).select(*by, "y", low(r).alias("y0"), share(r).alias("wy")).crossJoin(F.broadcast(across.select("part").distinct()))
+    # each pixel goes to the stretches of the cells on either side of its middle
+    parts = F.array_distinct(F.array(*[F.floor((F.col("x") - j) / STRETCH).cast("int") for j in (0, 1)]))
+    have = px.select(*by, "y", "x", *bands, F.explode(parts).alias("part")).select(*by, "x", "part", *bands, F.inline(F.array(*[F.struct((F.col("y") - i).cast("int").alias("y0"), F.lit(i).alias("i")) for i in (0, 1)])))
+    slot = lambda x, i: (x - F.col("part") * STRETCH) * 2 + i
+    have = have.repartition(*by, "y0", "part").groupBy(*by, "y0", "part", slot(F.col("x"), F.col("i")).cast("int").alias("slot"))
+    sums = have.agg(*[f(F.col(b).cast("double")).alias(f"{k}{n}") for n, b in enumerate(bands) for k, f in (("s", F.sum), ("n", F.count))])
+    cells_ = F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*[f"{k}{n}" for n in range(len(bands)) for k in "sn"]))))
+    stretches = sums.groupBy(*by, "y0", "part").agg(cells_.alias("cells"))
+    joined = want.join(stretches, [*by, "y0", "part"], "left").join(F.broadcast(of_part), "part")
+    cell = joined.select(*by, "y", "wy", "part", "cells", F.inline("xs"))
+    corners = [(F.col("wy") if i else 1 - F.col("wy")) * (F.col("wx") if j else 1 - F.col("wx")) for i in (0, 1) for j in (0, 1)]
+    cell = cell.select(*by, "y", "x", *[w.alias(f"w{k}") for k, w in enumerate(corners)], *[F.try_element_at("cells", slot(F.col("x0") + k % 2, k // 2).cast("int")).alias(f"c{k}") for k in range(4)])
+
+    def total(what: str) -> Column:
+        each = [F.coalesce(F.when(F.col(f"w{k}") > 0, F.col(f"c{k}")[what] * F.col(f"w{k}")), F.lit(0.0)) for k in range(4)]
+        return each[0] + each[1] + each[2] + each[3]
+
+    return cell.select(*by, "y", "x", *[F.try_divide(total(f"s{n}"), total(f"n{n}")).cast("float").alias(b) for n, b in enumerate(bands)])
+
+
+def _bilinear_by_points(px: DataFrame, source: Grid, target: Grid, by: list[str], bands: list[str]) -> DataFrame:
+    """bilinear() by a join of the four cells of each target cell, wherever they lie."""
     scenes = px.select(*by).distinct()
     r, c = _sought(source, target)
     want = cells(scenes, target).withColumns({"fr": r - F.lit(0.5), "fc": c - F.lit(0.5)})
